@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balltree, bitpack, bpe, langid, licences, matroska, packing, quality
+from . import balltree, bitpack, bpe, jaccard, langid, licences, matroska, packing, quality, spans
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.digest(table(spark, sf_dir, "embeddings"))
 
@@ -43,7 +51,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_matroska, op2_langid, op4_packing, op5_bitpack, op6_quality, op7_byte_bpe, op9_balltree, op10_licences)}
+    return {f.__name__: f for f in (op1_matroska, op2_langid, op3_spans, op4_packing, op5_bitpack, op6_quality, op7_byte_bpe, op8_jaccard, op9_balltree, op10_licences)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -195,7 +195,7 @@ def dedup(docs: DataFrame, keep: list[str]) -> DataFrame:
             span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: n - 3], pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(spans, span)], [*batch.schema.names[: n - 3], "_text", "_sentences", "_spans"])
 
-    out = joined.select(*keep).selectExpr("*", "'' _text", "0 _sentences", "array(named_struct('first', 0, 'end', 0)) _spans").schema
+    out = joined.select(*keep).selectExpr("*", "cast(null as string) _text", "cast(null as int) _sentences", "cast(null as array<struct<first:int,end:int>>) _spans").schema
     return joined.mapInArrow(rows, out)
 
 

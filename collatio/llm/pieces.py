@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import filterfalse
 
 IRREGULAR = re.compile(r"\s\s|^\s|\s\Z")
 #: Before a blank or line feed between two characters that aren't white space for any of the libraries.
@@ -34,33 +33,63 @@ def text_of(key: str) -> str:
     return key if key[:1] == "\n" else " " + key
 
 
-class PieceStore:
-    """Encoded pieces by key, at most ``most`` of them; emptied when full, so memory is bounded at any vocabulary.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def matches(piece: str, pattern) -> list[str]:
+    """The pattern's matches in a piece; one word with punctuation after it, the common case, needs no search."""
+    if piece[:1] in (" ", "\n"):
+        body = piece[1:]
+        word = body.rstrip(PUNCTUATION)
+        if word.isalpha():
+            found = [piece[0] + word] if piece[0] == " " else ["\n", word]
+            if len(word) < len(body):
+                found.append(body[len(word) :])
+            return found
+    return pattern.findall(piece)
+
+
+class Bounded(dict):
+    """A dictionary that is emptied when it holds ``most`` entries, so memory is bounded at any vocabulary."""
 
-    encode_many: encoded values of pieces' texts. encode_one: of any text. first: of a piece at the start of a
-    text, from the text without the line feed.
-    """
+    def __init__(self, most: int):
+        self.most = most
 
-    def __init__(self, encode_many: Callable[[list[str]], list], encode_one: Callable[[str], object], most: int = 300_000):
-        self.known: dict[str, object] = {}
-        self.encode_many, self.encode_one, self.most = encode_many, encode_one, most
+    def room(self, n: int) -> None:
+        if len(self) + n > self.most:
+            self.clear()
 
-    def values(self, texts: list[str]) -> list[tuple[list, str | None]]:
-        """For each text the values of its pieces in order; (values, whether the first stands for a line feed more)."""
-        cuts = [cut(t) for t in texts]
+
+class PieceStore:
+    """Encoded pieces by key. encode_many: encoded values of pieces' texts. encode_one: of any text."""
+
+    def __init__(self, encode_many: Callable[[list[str]], list], encode_one: Callable[[str], object], most: int = 600_000):
+        self.known = Bounded(most)
+        self.encode_many, self.encode_one = encode_many, encode_one
+
+    def values(self, texts: list[str]) -> list[tuple[list, bool]]:
+        """For each text the values of its pieces in order, and whether the first stands for a line feed more."""
+        known, held = self.known, []
         new: set[str] = set()
-        for _, keys in cuts:
-            new.update(filterfalse(self.known.__contains__, keys))
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            for _, keys in cuts:
-                new.update(keys)
+        for text in texts:
+            head, keys = cut(text)
+            got = list(map(known.get, keys))
+            if None in got:
+                gaps = [i for i, v in enumerate(got) if v is None]
+                new.update(map(keys.__getitem__, gaps))
+                held.append((head, got, gaps, keys))
+            else:
+                held.append((head, got, (), keys))
+        fresh: dict[str, object] = {}
         if new:
-            fresh = list(new)
-            self.known.update(zip(fresh, self.encode_many([text_of(k) for k in fresh]), strict=True))
+            names = list(new)
+            fresh = dict(zip(names, self.encode_many([text_of(k) for k in names]), strict=True))
+            known.room(len(fresh))
+            known.update(fresh)
         out = []
-        for head, keys in cuts:
-            got = list(map(self.known.__getitem__, keys))
+        for head, got, gaps, keys in held:
+            for i in gaps:
+                got[i] = fresh[keys[i]]
             if head is not None:
                 out.append(([self.encode_one(head), *got], False))
             else:

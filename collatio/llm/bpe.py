@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import map_batches
-from .pieces import PieceStore
+from .pieces import Bounded, PieceStore, matches
 
 NEVER = 1 << 60
 
@@ -153,9 +153,21 @@ def encoder(path: str, pattern: str) -> tuple[ByteBPE, PieceStore]:
     """One for a worker process. The store keeps of a piece: number of ids, ids in decimal after spaces, decoded bytes."""
     bpe = ByteBPE(load_ranks(path), pattern)
 
+    words = Bounded(300_000)
+
+    def word(match: str) -> tuple[int, bytes, bytes]:
+        if (known := words.get(match)) is None:
+            ids = bpe.match(match.encode())
+            words.room(1)
+            known = words[match] = (len(ids), "".join([f" {i}" for i in ids]).encode(), bpe.decode(ids))
+        return known
+
     def one(text: str) -> tuple[int, bytes, bytes]:
-        ids = bpe.encode(text)
-        return len(ids), b"".join(b" %d" % i for i in ids), bpe.decode(ids)
+        found = [word(m) for m in matches(text, bpe.pattern)]
+        if len(found) == 1:
+            return found[0]
+        n, said, data = zip(*found, strict=True) if found else ((), (), ())
+        return sum(n), b"".join(said), b"".join(data)
 
     return bpe, PieceStore(lambda texts: [one(t) for t in texts], one)
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +97,11 @@ def bounded_sample(docs: DataFrame, key: str, label: str, per_class: int, max_by
     picked = docs.sparkSession.createDataFrame([(i,) for i in ids], f"{key} {docs.schema[key].dataType.simpleString()}")
     rows = fit.join(F.broadcast(picked), key).groupBy(key).agg(F.min(F.struct(F.col(label).alias("l"), F.col("text").alias("t"))).alias("r"))
     return [(r["r"]["l"], r["r"]["t"]) for r in rows.orderBy(F.xxhash64(key), key).collect()]
+
+
+def portions(batch: pa.RecordBatch, column: int = 1, most: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text each, so what is made of them stays small."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for i, j in slices(ends, most):
+        yield batch.slice(i, j - i)

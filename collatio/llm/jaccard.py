@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_folder
+from .common import checkpointed, portions, shared_folder
 from .components import components
 from .shingles import bitmap, fold, set_ids, sets_of
 
@@ -57,7 +57,7 @@ def describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             members, ends = sets_of(batch.column(1), width)
             s1, s2 = set_ids(members, ends)
             counts += np.bincount((members >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
@@ -111,7 +111,7 @@ def early_members(width: int, percent: int, shared):
         hot_from = max(HOT, 4 * float(counts.mean()))
         salts = np.where(counts > hot_from, np.ceil(counts / hot_from), 1).astype(np.int64)
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             members, ends = sets_of(batch.column(1), width)
             s1, s2 = set_ids(members, ends)
             counter = (members >> np.uint64(44)).astype(np.int64)
@@ -284,7 +284,7 @@ def fetched(width: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = shared.value
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             d = batch.column(0).to_numpy()
             hit = np.ones(len(d), bool)
             for at in bloom_places(d):
@@ -335,7 +335,8 @@ def verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, per
     need = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct().join(sets.select("u", "d", "s1", "s2"), "u")
     need = checkpointed(need)
     passes = spark.sparkContext.broadcast(bloom_of(need))
-    members = rows.mapInArrow(fetched(width, passes), "s1 long, s2 long, data binary").join(need.select("u", "s1", "s2"), ["s1", "s2"]).dropDuplicates(["u"]).select("u", "data")
+    got = rows.mapInArrow(fetched(width, passes), "s1 long, s2 long, data binary").groupBy("s1", "s2").agg(F.first("data").alias("data"))
+    members = got.join(need.select("u", "s1", "s2"), ["s1", "s2"]).select("u", "data")
     members = checkpointed(members)
     portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("p"))
     dealt = pairs.join(portions, "a").select("a", F.pmod(F.xxhash64("b"), F.col("p")).cast("int").alias("portion"), "b")

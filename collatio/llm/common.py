@@ -84,6 +84,7 @@ def bounded_sample(docs: DataFrame, key: str, label: str, per_class: int, max_by
     The rows with the smallest hashes are taken, so the sample doesn't depend on partitioning. Ids are chosen
     first; texts are then fetched through a join with the chosen ids, whose number is bounded.
     """
+    docs = docs.select(key, label, "text")
     fit = docs.where(F.col(label).isNotNull() & F.col(key).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
     found = sorted((r[0] for r in fit.groupBy(label).count().orderBy(F.desc("count"), label).limit(classes_most).collect()), key=str)
     spread = F.xxhash64(key)

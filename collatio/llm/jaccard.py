@@ -401,3 +401,16 @@ def digest(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     least = rows.where("comp is not null").groupBy("comp").agg(F.min("d").alias("least"))
     given = lambda c: F.when(F.col(c) == LOWEST, None).otherwise(F.col(c))
     return rows.join(least, "comp", "left").select(given("d").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("least").isNull(), given("d")).otherwise(given("least")).alias("component_id"))
+
+
+def stage(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """One document of each group of linked ones, that with the smallest doc_id; documents without words all stay.
+
+    Rows with equal doc_id and text count as one document.
+    """
+    rows = link_components(docs, width, percent)
+    least = rows.where("comp is not null").groupBy("comp").agg(F.min("d").alias("_kept")).select("_kept")
+    alone = rows.where("comp is null").select(F.col("d").alias("_kept"))
+    kept = least.unionByName(alone).distinct()
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LOWEST)).alias("_kept"), F.xxhash64(docs["text"]).alias("_h"))
+    return whole.join(kept, "_kept").dropDuplicates(["_kept", "_h"]).select("_row.*")

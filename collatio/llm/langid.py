@@ -154,11 +154,11 @@ SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Columns lang_pred, score and rejected for every whole text; ``keep``: input columns to carry (default doc_id)."""
+    """(_row, _lang, _score, _rejected) of every whole text; ``keep``: input columns that _row carries (default doc_id)."""
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*keep, docs["text"].cast("string").alias("_text"))
-    schema = chosen.drop("_text").selectExpr("*", "cast(null as string) _lang", "cast(null as double) _score", "cast(null as boolean) _rejected").schema
+    chosen = docs.select(F.struct(*[docs[c] for c in keep]).alias("_row"), docs["text"].cast("string").alias("_text"))
+    schema = chosen.selectExpr("_row", "cast(null as string) _lang", "cast(null as double) _score", "cast(null as boolean) _rejected").schema
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
@@ -187,9 +187,10 @@ def train(docs: DataFrame) -> Model:
 
 def digest(docs: DataFrame) -> DataFrame:
     found = predict(docs.select("doc_id", "text"), train(docs))
+    found = found.select("_row.doc_id", "_lang", "_score", "_rejected")
     return found.select("doc_id", (remainder_of_id("doc_id", 4) == 2).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
 
 
 def stage(docs: DataFrame, keep_columns: list[str]) -> DataFrame:
     """The documents that aren't rejected, with their own columns."""
-    return predict(docs, train(docs), keep_columns).where(~F.col("_rejected")).select(*keep_columns)
+    return predict(docs, train(docs), keep_columns).where(~F.col("_rejected")).select("_row.*")

@@ -161,11 +161,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """A column ``_score`` for every whole text; ``keep``: input columns to carry (default doc_id)."""
+    """(_row, _score) of every whole text; ``keep``: input columns that _row carries (default doc_id)."""
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*keep, docs["text"].cast("string").alias("_text"))
-    schema = chosen.drop("_text").selectExpr("*", "cast(null as double) _score").schema
+    chosen = docs.select(F.struct(*[docs[c] for c in keep]).alias("_row"), docs["text"].cast("string").alias("_text"))
+    schema = chosen.selectExpr("_row", "cast(null as double) _score").schema
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = score_texts(shared.value, batch.column(batch.num_columns - 1))
@@ -175,10 +175,10 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    found = predict(docs.select("doc_id", "text"), train(docs, labels))
+    found = predict(docs.select("doc_id", "text"), train(docs, labels)).select("_row.doc_id", "_score")
     return found.select("doc_id", (remainder_of_id("doc_id", 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= PREDICTED_FROM).cast("int").alias("predicted"))
 
 
 def stage(docs: DataFrame, labels: DataFrame, keep_columns: list[str]) -> DataFrame:
     """The documents that aren't predicted to be bad, with their own columns."""
-    return predict(docs, train(docs, labels), keep_columns).where(F.col("_score") >= PREDICTED_FROM).select(*keep_columns)
+    return predict(docs, train(docs, labels), keep_columns).where(F.col("_score") >= PREDICTED_FROM).select("_row.*")

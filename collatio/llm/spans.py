@@ -168,8 +168,8 @@ def strip(text: str, starts: list[int]) -> tuple[str, int, list[tuple[int, int]]
 
 
 def dedup(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The rows' columns ``keep`` with ``_text`` (what is left), ``_sentences`` and ``_spans`` (removed sentences)."""
-    hashed = docs.select(*keep, *keys(docs))
+    """(_row, _text, _sentences, _spans): the columns ``keep``, what is left, and the removed sentences."""
+    hashed = docs.select(F.struct(*[docs[c] for c in keep]).alias("_row"), *keys(docs))
     text_key = hashed.schema
 
     def with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,22 +195,23 @@ def dedup(docs: DataFrame, keep: list[str]) -> DataFrame:
             span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: n - 3], pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(spans, span)], [*batch.schema.names[: n - 3], "_text", "_sentences", "_spans"])
 
-    out = joined.select(*keep).selectExpr("*", "cast(null as string) _text", "cast(null as int) _sentences", "cast(null as array<struct<first:int,end:int>>) _spans").schema
+    out = joined.selectExpr("_row", "cast(null as string) _text", "cast(null as int) _sentences", "cast(null as array<struct<first:int,end:int>>) _spans").schema
     return joined.mapInArrow(rows, out)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed, removed): every document with what is left of it."""
     removed = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["end"] - s["first"])
-    return dedup(docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", F.col("_text").alias("text"), F.col("_sentences").alias("n_sentences"), removed.alias("n_removed"), F.col("_spans").alias("removed"))
+    return dedup(docs.select("doc_id", "text"), ["doc_id"]).select("_row.doc_id", F.col("_text").alias("text"), F.col("_sentences").alias("n_sentences"), removed.alias("n_removed"), F.col("_spans").alias("removed"))
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """The documents without repeated passages; those of which nothing is left go, if there was something."""
     names = docs.columns
     own = dedup(docs, names)
-    # columns are set anew from the text that is left
-    had = F.col("text").isNotNull() & (F.trim("text") != "")
+    had = F.trim(F.coalesce(F.col("_row.text"), F.lit(""))) != ""
     left = own.where(~(had & (F.trim("_text") == "") & (F.size("_spans") > 0)))
-    made = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {"text": F.col("_text")}
-    return left.select(*[made[c].alias(c) if c in made else F.col(c) for c in names])
+    made = {"text": F.col("_text")}
+    if "n_chars" in names:  # set anew where sentences went
+        made["n_chars"] = F.when(F.size("_spans") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return left.select(*[made.get(c, F.col("_row").getField(c)).alias(c) for c in names])

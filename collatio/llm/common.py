@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -106,3 +107,35 @@ def portions(batch: pa.RecordBatch, column: int = 1, most: int = 4 * SLICE_BYTES
     ends = np.concatenate([[0], np.cumsum(sizes)])
     for i, j in slices(ends, most):
         yield batch.slice(i, j - i)
+
+
+#: Rows that travel to Python at once; texts may be long, so fewer than Spark's default.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows from now on in this session, unless it asks for smaller ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def release() -> None:
+    """Hand memory that a task no longer uses back to the system; the worker process lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that leaves no unused memory behind in its worker."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, portions, shared_folder
+from .common import checkpointed, lean, portions, shared_folder, small_batches
 from .components import components
 from .shingles import bitmap, fold, set_ids, sets_of
 
@@ -94,7 +94,7 @@ def sketch_of(parts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.astype(np.float32).tobytes() for s in sums.values()], pa.binary())], ["slot", "sums"])
 
     out = np.zeros(COUNTERS, np.float32)
-    for slot, data in parts.select(F.col("d").alias("slot"), "data").repartition(COUNTERS // SLOT, "slot").mapInArrow(total, "slot long, sums binary").collect():
+    for slot, data in parts.select(F.col("d").alias("slot"), "data").repartition(COUNTERS // SLOT, "slot").mapInArrow(lean(total), "slot long, sums binary").collect():
         out[slot * SLOT : (slot + 1) * SLOT] = np.frombuffer(data, np.float32)
     return out
 
@@ -335,7 +335,7 @@ def verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, per
     need = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct().join(sets.select("u", "d", "s1", "s2"), "u")
     need = checkpointed(need)
     passes = spark.sparkContext.broadcast(bloom_of(need))
-    got = rows.mapInArrow(fetched(width, passes), "s1 long, s2 long, data binary").groupBy("s1", "s2").agg(F.first("data").alias("data"))
+    got = rows.mapInArrow(lean(fetched(width, passes)), "s1 long, s2 long, data binary").groupBy("s1", "s2").agg(F.first("data").alias("data"))
     members = got.join(need.select("u", "s1", "s2"), ["s1", "s2"]).select("u", "data")
     members = checkpointed(members)
     portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("p"))
@@ -343,14 +343,15 @@ def verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, per
     guests = dealt.join(members, dealt["b"] == members["u"]).select("a", "portion", "b", "data")
     leaders = portions.select("a", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("portion")).join(members, F.col("a") == members["u"]).select("a", "portion", F.lit(None).cast("long").alias("b"), "data")
     met = guests.unionByName(leaders).repartition("a", "portion").sortWithinPartitions("a", "portion", F.asc_nulls_first("b"))
-    return met.mapInArrow(intersected(percent), PAIRS)
+    return met.mapInArrow(lean(intersected(percent)), PAIRS)
 
 
 def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """(d, n, comp): every row of docs with the size of its set and a number of its component (null without members)."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = rows_of(docs)
-    told = rows.mapInArrow(describe(width), SETS)
+    told = rows.mapInArrow(lean(describe(width)), SETS)
     folder = shared_folder(spark, "jaccard")
     told.write.parquet(f"{folder}/sets")
     told = spark.read.schema(SETS).parquet(f"{folder}/sets")
@@ -361,8 +362,8 @@ def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     )
     # the band of a size: two sizes that don't rule a link out lie in the same or in neighbouring bands
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100) * 1.0000001)).cast("int")
-    early = rows.mapInArrow(early_members(width, percent, sketch), EARLY).repartition("tok", "salt").sortWithinPartitions("tok", "salt", "s1", "s2")
-    early.mapInArrow(blocks, "tok long, s1 long, s2 long, n int").write.parquet(f"{folder}/blocks-{uuid.uuid4().hex}")
+    early = rows.mapInArrow(lean(early_members(width, percent, sketch)), EARLY).repartition("tok", "salt").sortWithinPartitions("tok", "salt", "s1", "s2")
+    early.mapInArrow(lean(blocks), "tok long, s1 long, s2 long, n int").write.parquet(f"{folder}/blocks-{uuid.uuid4().hex}")
     held = spark.read.schema("tok long, s1 long, s2 long, n int").parquet(f"{folder}/blocks-*").withColumn("band", band)
     held = held.join(sets.select("s1", "s2", "u"), ["s1", "s2"]).select("tok", "band", "n", "u")
     held = checkpointed(held)
@@ -370,7 +371,7 @@ def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     def marked(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("u").alias("a"), F.col("n").alias("na"), F.col("data").alias("ma"))
         y = sets.select(F.col("u").alias("b"), F.col("n").alias("nb"), F.col("data").alias("mb"))
-        return pairs.join(x, "a").join(y, "b").select("a", "na", "ma", "b", "nb", "mb").mapInArrow(passing(percent), PAIRS)
+        return pairs.join(x, "a").join(y, "b").select("a", "na", "ma", "b", "nb", "mb").mapInArrow(lean(passing(percent)), PAIRS)
 
     leaders = held.groupBy("tok", "band").agg(F.min("u").alias("a"))
     star = held.join(leaders, ["tok", "band"]).where("u <> a").select("a", F.col("u").alias("b")).distinct()
@@ -388,7 +389,7 @@ def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     tiled = own.unionByName(guest).join(cut, ["tok", "band"]).withColumn("k", F.pmod(F.xxhash64("u"), F.col("t")).cast("int"))
     tiled = tiled.select("*", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("other")).select("tok", "band", "u", "comp", "guest", F.col("k").alias("t"), F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"))
     tiled = tiled.join(sets.select("u", "n", "data"), "u").repartition("tok", "band", "i", "j").sortWithinPartitions("tok", "band", "i", "j")
-    more = tiled.select("tok", "band", "i", "j", "u", "comp", "guest", "t", "n", "data").mapInArrow(tiles(percent), PAIRS)
+    more = tiled.select("tok", "band", "i", "j", "u", "comp", "guest", "t", "n", "data").mapInArrow(lean(tiles(percent)), PAIRS)
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
     final = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(more, sets, rows, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))))
     named = sets.select("s1", "s2", "u").join(final.withColumnRenamed("node", "u"), "u", "left").select("s1", "s2", F.coalesce("root", "u").alias("comp"))

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_folder
+from .common import checkpointed, lean, shared_folder, small_batches
 from .tokens import default_tokenizer, piece_tokenizer
 
 MAGIC, BLOCK, HEAD = b"BITIDS01", 4096, struct.Struct("<8sII4Q")
@@ -158,7 +158,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         .sortWithinPartitions("doc_id", "_h")
         .drop("_h")
     )
-    return checkpointed(ordered.mapInArrow(rows, MANIFEST))
+    small_batches(docs.sparkSession)
+    return checkpointed(ordered.mapInArrow(lean(rows, stores=True), MANIFEST))
 
 
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches
+from .common import STORES, map_batches
 from .pieces import Bounded, PieceStore, matches
 
 NEVER = 1 << 60
@@ -153,7 +153,7 @@ def encoder(path: str, pattern: str) -> tuple[ByteBPE, PieceStore]:
     """One for a worker process. The store keeps of a piece: number of ids, ids in decimal after spaces, decoded bytes."""
     bpe = ByteBPE(load_ranks(path), pattern)
 
-    words = Bounded(300_000)
+    words = Bounded(200_000)
 
     def word(match: str) -> tuple[int, bytes, bytes]:
         if (known := words.get(match)) is None:
@@ -172,6 +172,7 @@ def encoder(path: str, pattern: str) -> tuple[ByteBPE, PieceStore]:
     return bpe, PieceStore(lambda texts: [one(t) for t in texts], one)
 
 
+STORES.append(encoder.cache_clear)
 IDS = "doc_id long, ids array<int>"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -185,7 +186,7 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
         ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return map_batches(df.select(df[key].cast("long").alias("doc_id"), df[text].cast("string").alias("text")), rows, IDS)
+    return map_batches(df.select(df[key].cast("long").alias("doc_id"), df[text].cast("string").alias("text")), rows, IDS, stores=True)
 
 
 def decode(df: DataFrame, ids: str = "ids", key: str = "doc_id", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -196,7 +197,7 @@ def decode(df: DataFrame, ids: str = "ids", key: str = "doc_id", path: str | Non
         bpe, _ = encoder(path, pattern)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
 
-    return map_batches(df.select(df[key].cast("long").alias("doc_id"), df[ids].cast("array<int>").alias("ids")), rows, "doc_id long, data binary")
+    return map_batches(df.select(df[key].cast("long").alias("doc_id"), df[ids].cast("array<int>").alias("ids")), rows, "doc_id long, data binary", stores=True)
 
 
 def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -220,4 +221,4 @@ def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None)
                 back.append(hashlib.sha256(b"".join(data)).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), rows, DIGEST)
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), rows, DIGEST, stores=True)

@@ -157,12 +157,14 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     """(_row, _lang, _score, _rejected) of every whole text; ``keep``: input columns that _row carries (default doc_id)."""
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(F.struct(*[docs[c] for c in keep]).alias("_row"), docs["text"].cast("string").alias("_text"))
+    # a text that is carried anyway isn't sent twice
+    apart = "text" not in keep
+    chosen = docs.select(F.struct(*[docs[c] for c in keep]).alias("_row"), *([docs["text"].cast("string").alias("_text")] if apart else []))
     schema = chosen.selectExpr("_row", "cast(null as string) _lang", "cast(null as double) _score", "cast(null as boolean) _rejected").schema
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
-        text = batch.column(batch.num_columns - 1)
+        text = batch.column(1) if apart else batch.column(0).field("text")
         data, offsets = padded(text)
         known = lettered(data, offsets, text) & bool(m.languages)
         if m.languages:
@@ -175,7 +177,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
         else:
             score, lang = np.zeros(len(known)), ["und"] * len(known)
         rejected = ~known | (score < m.threshold)
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang), pa.array(score), pa.array(rejected)], [*batch.schema.names[:-1], "_lang", "_score", "_rejected"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(rejected)], ["_row", "_lang", "_score", "_rejected"])
 
     return map_batches(chosen, rows, schema)
 

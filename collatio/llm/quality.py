@@ -164,12 +164,14 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
     """(_row, _score) of every whole text; ``keep``: input columns that _row carries (default doc_id)."""
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(F.struct(*[docs[c] for c in keep]).alias("_row"), docs["text"].cast("string").alias("_text"))
+    # a text that is carried anyway isn't sent twice
+    apart = "text" not in keep
+    chosen = docs.select(F.struct(*[docs[c] for c in keep]).alias("_row"), *([docs["text"].cast("string").alias("_text")] if apart else []))
     schema = chosen.selectExpr("_row", "cast(null as double) _score").schema
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = score_texts(shared.value, batch.column(batch.num_columns - 1))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*batch.schema.names[:-1], "_score"])
+        score = score_texts(shared.value, batch.column(1) if apart else batch.column(0).field("text"))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["_row", "_score"])
 
     return map_batches(chosen, rows, schema)
 

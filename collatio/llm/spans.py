@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
+
 RUN, UNIT_WORDS = 4, 12
 #: Runs that a task looks at together.
 BLOCK_RUNS = 400_000
@@ -149,8 +151,9 @@ def keys(docs: DataFrame) -> list:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(_d, _t, starts): of each document, by id and text hash, the places where a repeated run begins."""
-    runs = docs.select(*keys(docs)).mapInArrow(runs_of, RUNS)
-    met = runs.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(repeats_of, "_d long, _t long, pos int")
+    small_batches(docs.sparkSession)
+    runs = docs.select(*keys(docs)).mapInArrow(lean(runs_of), RUNS)
+    met = runs.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(lean(repeats_of), "_d long, _t long, pos int")
     return met.groupBy("_d", "_t").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
 
 
@@ -178,7 +181,7 @@ def dedup(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t, pa.int64())], [*batch.schema.names, "_t"])
 
     schema = hashed.selectExpr("*", "cast(0 as long) _t").schema
-    joined = hashed.mapInArrow(with_hash, schema).join(repeated(docs), ["_d", "_t"], "left").select(*text_key.names, "starts")
+    joined = hashed.mapInArrow(lean(with_hash), schema).join(repeated(docs), ["_d", "_t"], "left").select(*text_key.names, "starts")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +199,7 @@ def dedup(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: n - 3], pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(spans, span)], [*batch.schema.names[: n - 3], "_text", "_sentences", "_spans"])
 
     out = joined.selectExpr("_row", "cast(null as string) _text", "cast(null as int) _sentences", "cast(null as array<struct<first:int,end:int>>) _spans").schema
-    return joined.mapInArrow(rows, out)
+    return joined.mapInArrow(lean(rows), out)
 
 
 def digest(docs: DataFrame) -> DataFrame:

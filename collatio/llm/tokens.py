@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from .common import STORES
 from .pieces import Bounded, PieceStore, matches
 
 
@@ -43,7 +44,7 @@ class PieceTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.letters = str.maketrans(byte_letters())
-        self.words = Bounded(300_000)
+        self.words = Bounded(200_000)
         self.direct = False
         if len(self.raw("\n")) != 1:
             raise ValueError("a line feed must be one token of this vocabulary")
@@ -76,3 +77,6 @@ class PieceTokenizer:
 def piece_tokenizer(path: str) -> PieceTokenizer:
     """One for a worker process, kept from task to task."""
     return PieceTokenizer(path)
+
+
+STORES.append(piece_tokenizer.cache_clear)

@@ -7,27 +7,30 @@ from pyspark.sql import functions as F
 
 from .aligned import fuzzy_schema
 from .lexicon import CONTACT_LABELS, DEFAULT, EMAIL, PHONE, REPEATED_LABELS, STRICT_ROLES, Lexicon
-from .text import bag, headerish, normalize_alnum, normalize_for_compare, normalize_text, strip, strip_leading_markers, sub, visible
+from .text import bag, bound, headerish, normalize_alnum, normalize_for_compare, normalize_text, strip, strip_leading_markers, sub, visible
 from .tokens import single_value, token_kind, token_texts
 
 
 def known_schema(c: Column, lexicon: Lexicon = DEFAULT, fuzzy: bool = False) -> Column:
     """Key of the section whose header a text is; exact and by pattern natively, nearly alike ones by alignment."""
-    normalized = normalize_alnum(c)
-    found = F.lit(None).cast("string")
-    for key, _, pattern in reversed(lexicon.schemas):
-        found = F.when(normalized.rlike(f"^(?:{pattern})$"), key).otherwise(found)
-    if fuzzy:
-        found = F.coalesce(found, fuzzy_schema(lexicon.schemas)(normalized))
-    return found
+    def of(normalized: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for key, _, pattern in reversed(lexicon.schemas):
+            found = F.when(normalized.rlike(f"^(?:{pattern})$"), key).otherwise(found)
+        return found
+
+    found = bound(normalize_alnum(c), of)
+    return F.coalesce(found, fuzzy_schema(lexicon.schemas)(normalize_alnum(c))) if fuzzy else found
 
 
 def contact_label(c: Column) -> Column:
-    key = normalize_for_compare(c)
-    out = F.lit(None).cast("string")
-    for label, name in CONTACT_LABELS.items():
-        out = F.when((key == label) | key.startswith(label + ":") | key.startswith(label + " "), name).otherwise(out)
-    return out
+    def of(key: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for label, name in CONTACT_LABELS.items():
+            out = F.when((key == label) | key.startswith(label + ":") | key.startswith(label + " "), name).otherwise(out)
+        return out
+
+    return bound(normalize_for_compare(c), of)
 
 
 def _words(text: Column) -> Column:
@@ -138,14 +141,18 @@ def page_segments(blocks: DataFrame, key: list[str]) -> DataFrame:
 
 def repeated_label(c: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """The key of a short label that may stand many times in a table, else null."""
+
+    def of(p: Column) -> Column:
+        key, words = p["key"], p["words"]
+        n, years = F.size(words), F.forall(words, lambda t: t.rlike(r"^\d{4}$"))
+        digits = F.exists(words, lambda t: t.rlike(r"^\d+$"))
+        named = key.isin(*REPEATED_LABELS, f"{lexicon.company.lower()} inc", f"{lexicon.company.lower()} inc.")
+        short = named | (n <= 2) | F.forall(words, lambda t: F.length(t) <= 8)
+        barred = (key == "") | (n == 0) | (n > 4) | (F.length(key) > 32) | F.exists(words, lambda t: t.isin("quote", "tbc"))
+        return F.when(barred, None).when(years, key).when(digits & (n > 2), None).when(short, key)
+
     key = normalize_for_compare(strip_leading_markers(c))
-    words = bag(key)
-    n, years = F.size(words), F.forall(words, lambda t: t.rlike(r"^\d{4}$"))
-    digits = F.exists(words, lambda t: t.rlike(r"^\d+$"))
-    named = key.isin(*REPEATED_LABELS, f"{lexicon.company.lower()} inc", f"{lexicon.company.lower()} inc.")
-    short = named | (n <= 2) | F.forall(words, lambda t: F.length(t) <= 8)
-    barred = (key == "") | (n == 0) | (n > 4) | (F.length(key) > 32) | F.exists(words, lambda t: t.isin("quote", "tbc"))
-    return F.when(barred, None).when(years, key).when(digits & (n > 2), None).when(short, key)
+    return bound(F.struct(key.alias("key"), bag(key).alias("words")), of)
 
 
 def role_compatible(a: Column, b: Column) -> Column:

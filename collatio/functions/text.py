@@ -15,6 +15,11 @@ def sub(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, pattern, to)
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: expressions inside lambdas would be evaluated for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column) -> Column:
     return sub(c, r"(?U)^\s+|\s+\z")
 
@@ -85,8 +90,11 @@ def bag(c: Column) -> Column:
 
 
 def bigrams(c: Column) -> Column:
-    text = F.replace(normalize_for_compare(c), F.lit(" "), F.lit(""))
-    return F.when(F.length(text) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(2))))
+    def cut(text: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(2)))
+        return F.when(F.length(text) < 2, F.array().cast("array<string>")).otherwise(pairs)
+
+    return bound(F.replace(normalize_for_compare(c), F.lit(" "), F.lit("")), cut)
 
 
 def visible(c: Column) -> Column:
@@ -97,12 +105,15 @@ def headerish(c: Column) -> Column:
     """Whether a cell reads like a column header: a marker in it, only low/high, only years, or a date."""
     from .lexicon import DATE
 
-    key, words = normalize_row_key(c), bag(normalize_row_key(c))
-    marked = key.contains(HEADER_MARKERS[0])
-    for m in HEADER_MARKERS[1:]:
-        marked = marked | key.contains(m)
-    words_say = F.forall(words, lambda t: t.isin("low", "high")) | F.forall(words, lambda t: t.rlike(r"^\d{4}$"))
-    return (key != "") & (marked | ((F.size(words) > 0) & (words_say | F.coalesce(c, F.lit("")).rlike("(?iU)" + DATE))))
+    def of_key(key: Column) -> Column:
+        words = F.filter(F.split(sub(key, "[^0-9a-z]+", " "), " "), lambda t: t != "")
+        marked = key.contains(HEADER_MARKERS[0])
+        for m in HEADER_MARKERS[1:]:
+            marked = marked | key.contains(m)
+        words_say = F.forall(words, lambda t: t.isin("low", "high")) | F.forall(words, lambda t: t.rlike(r"^\d{4}$"))
+        return (key != "") & (marked | ((F.size(words) > 0) & (words_say | F.coalesce(c, F.lit("")).rlike("(?iU)" + DATE))))
+
+    return bound(normalize_row_key(c), of_key)
 
 
 def noise_line(c: Column) -> Column:

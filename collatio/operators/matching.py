@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import set_overlap, similarity_of
 from ..functions.text import bag, bigrams, normalize_for_compare
+from ..lineage import cut
 
 
 def prepared(side: DataFrame) -> DataFrame:
@@ -63,16 +64,20 @@ def best_of(scores: DataFrame, floor: float) -> DataFrame:
     return scores.where(F.round("score", 9) >= floor).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def one_to_one(scores: DataFrame, floor: float, rounds: int = 4) -> DataFrame:
-    """Pairs that are each other's best, in rounds; what a round takes is gone for the next."""
-    left = scores.where(F.round("score", 9) >= floor)
+def one_to_one(scores: DataFrame, floor: float, rounds: int = 3) -> DataFrame:
+    """Pairs that are each other's best, in rounds; what a round takes is gone for the next.
+
+    Each round's rest is written once, so the plan doesn't double from round to round.
+    """
+    left = cut(scores.where(F.round("score", 9) >= floor))
     taken: DataFrame | None = None
     by = lambda k, o: Window.partitionBy("pair_id", k).orderBy(F.desc(F.round("score", 9)), o)
-    for _ in range(rounds):
+    for n in range(rounds):
         ranked = left.withColumn("_l", F.row_number().over(by("left_order", "right_order"))).withColumn("_r", F.row_number().over(by("right_order", "left_order")))
-        got = ranked.where("_l = 1 and _r = 1").select(*scores.columns)
+        got = cut(ranked.where("_l = 1 and _r = 1").select(*scores.columns))
         taken = got if taken is None else taken.unionByName(got)
-        left = left.join(got.select("pair_id", "left_order"), ["pair_id", "left_order"], "left_anti").join(got.select("pair_id", "right_order"), ["pair_id", "right_order"], "left_anti")
+        if n + 1 < rounds:
+            left = cut(left.join(got.select("pair_id", "left_order"), ["pair_id", "left_order"], "left_anti").join(got.select("pair_id", "right_order"), ["pair_id", "right_order"], "left_anti"))
     return taken
 
 

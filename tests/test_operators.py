@@ -136,3 +136,16 @@ def test_tiers(spark, text, tier):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(review.tier(F.lit(text))).first()[0] == tier
+
+
+def test_sections():
+    from collatio.operators import sections
+
+    prose = "Revenue and margins rose in the quarter as demand grew in all regions and costs stayed as they were before, which helped."
+    left = [Block(0, "GAAP Results", role="section_header"), Block(1, prose), Block(2, "Financial Targets", role="section_header"), Block(3, "We expect more of it.")]
+    right = [Block(0, "GAAP Results", role="section_header"), Block(1, "All of it was rewritten here.")]
+    found = sections.section_families(left)
+    assert [(f.schema, f.members) for f in found] == [("gaap_results", [0, 1]), ("financial_targets", [2, 3])]
+    told, covered = sections.notes(left, right, {1, 2, 3}, "html", diff.shorten)
+    assert covered == {1, 2, 3} and told[0][1] == 0 and told[0][2].startswith("This DOCX gaap_results section is broadly matched to the HTML")
+    assert told[1][0] == 2 and told[1][2].startswith("This DOCX financial_targets section was not found in the HTML.")

@@ -53,7 +53,7 @@ class Comparison:
         packed = lambda d, k, o: d.select("pair_id", F.col("order").alias(o), F.struct(*names, F.col("structure_role").alias("role"), F.col("family_table_index").alias("family"), *([F.col("runs")] if "runs" in d.columns else [])).alias(k))
         met = matches.where("match_type is not null").join(packed(a, "l", "left_order"), ["pair_id", "left_order"]).join(packed(b, "r", "right_order"), ["pair_id", "right_order"])
         told = diff.comments(met, self.profile, self.lexicon)
-        right_only = matches.where("left_order is null").join(b.select("pair_id", F.col("order").alias("right_order"), "text"), ["pair_id", "right_order"]).where(visible(F.col("text")))
+        right_only = matches.where("left_order is null and not covered").join(b.select("pair_id", F.col("order").alias("right_order"), "text"), ["pair_id", "right_order"]).where(visible(F.col("text")))
         if self.profile.target == "html":
             extra = right_only.select("pair_id", "right_order", F.lit(1_000_000).alias("seq"), F.lit(0).alias("token_index"), F.lit("This HTML block has no corresponding content in the DOCX.").alias("contents"))
             told = told.unionByName(extra)

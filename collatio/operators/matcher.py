@@ -492,7 +492,7 @@ class Matcher:
 BLOCK_COLUMNS = ("order", "text", "heading", "heading_level", "bold", "italic", "underline", "list_item", "table_cell", "kind", "table", "row", "col", "row_key", "row_slot", "numeric_slot", "footnote_marker", "structure_role", "family_table_index")
 RENAMED = {"structure_role": "role", "family_table_index": "family"}
 MATCHES = "pair_id long, left_order int, right_order int, match_type string, score double, held boolean, group_type string"
-#: As MATCHES, with rows that are comments on sections, and left blocks that such comments cover.
+#: As MATCHES, with rows that are comments on sections and near matches, and one-sided blocks that these cover.
 NOTED = MATCHES + ", contents string, covered boolean"
 
 
@@ -512,9 +512,9 @@ def match_pairs(left: DataFrame, right: DataFrame, profile: Profile = Profile(),
 
 
 def match_and_note(left: DataFrame, right: DataFrame, profile: Profile = Profile(), lexicon: Lexicon = DEFAULT) -> DataFrame:  # noqa: B008
-    """As ``match_pairs``, with comments on sections that hold left-over blocks."""
-    from .diff import shorten
-    from .sections import notes
+    """As ``match_pairs``, with comments on sections and on near matches of left-over blocks."""
+    from .diff import explain, shorten
+    from .sections import near_matches, notes
 
     def one(key, a, b):
         pair = key[0].as_py()
@@ -524,9 +524,14 @@ def match_and_note(left: DataFrame, right: DataFrame, profile: Profile = Profile
         taken = {j for j, _, _ in found.values()}
         group = {i: m.groups[0][g].kind for i, g in m.group_of[0].items() if g in m.pairs}
         told, covered = notes(x, y, {i for i in range(len(x)) if i not in found and i not in m.held}, profile.target, shorten, lexicon)
+        near, settled = [], set()
+        if profile.target == "html":
+            loose = [i for i in range(len(x)) if i not in found and i not in m.held]
+            near, settled = near_matches(x, y, loose, [j for j in range(len(y)) if j not in taken], profile, explain, lexicon)
+        told += [(None, order, said) for order, said in near]
         rows = [(pair, x[i].order, y[j].order, kind, float(score), False, group.get(i), None, False) for i, (j, kind, score) in found.items()]
         rows += [(pair, b.order, None, None, None, i in m.held, None, None, i in covered) for i, b in enumerate(x) if i not in found]
-        rows += [(pair, None, b.order, None, None, False, None, None, False) for j, b in enumerate(y) if j not in taken]
+        rows += [(pair, None, b.order, None, None, False, None, None, j in settled) for j, b in enumerate(y) if j not in taken]
         rows += [(pair, p, q, None, None, False, None, said, False) for p, q, said in told]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.string(), pa.bool_()]
         names = [c.split()[0] for c in NOTED.split(", ")]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .aligned import fuzzy_schema
 from .lexicon import CONTACT_LABELS, DEFAULT, EMAIL, PHONE, REPEATED_LABELS, STRICT_ROLES, Lexicon
 from .text import bag, bound, headerish, normalize_alnum, normalize_for_compare, normalize_text, strip, strip_leading_markers, sub, visible
-from .tokens import single_value, token_kind, token_texts
+from .tokens import is_single_number, token_texts
 
 
 def known_schema(c: Column, lexicon: Lexicon = DEFAULT, fuzzy: bool = False) -> Column:
@@ -209,7 +209,7 @@ def assign_roles(blocks: DataFrame, doc: str = "doc_id", lexicon: Lexicon = DEFA
     kept = title.isNotNull() & F.col("_soon").isNotNull()
     plain_role = F.coalesce(F.col("_role"), F.when(kept, base), F.when(follows_title, "table_subtitle"), F.when(F.coalesce(lead, F.lit(False)), "section_lead"), base)
     b = b.withColumn("_plain", plain_role).withColumn("_prev_soon", F.lag("_soon").over(w))
-    number = F.coalesce(token_kind(single_value(F.col("text"))) == "number", F.lit(False)) & single_value(F.col("text")).isNotNull()
+    number = is_single_number(F.col("text"))
     cells = b.where("table_cell and table is not null").withColumn("_number", number)
     seen = F.when(visible(F.col("text")), F.struct(F.coalesce("row_slot", F.lit(0)), F.col("col"), headerish(F.col("text")).alias("h")))
     rows = cells.groupBy(doc, "table", "row").agg(F.sum(F.col("_number").cast("int")).alias("numbers"), F.min(seen).alias("first"))

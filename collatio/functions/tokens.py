@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from .lexicon import CURRENCY_ROWS, DATE, FINANCE_ROWS, NUMBER, RATE_ROWS, SHARE_ROWS, TOKEN
-from .text import normalize_proof, normalize_text, strip, sub
+from .text import bound, normalize_proof, normalize_text, strip, sub
 
 
 def token_texts(c: Column) -> Column:
@@ -25,8 +25,12 @@ def token_norm(t: Column) -> Column:
 
 def single_value(c: Column) -> Column:
     """The token of a cell that has exactly one."""
-    found = token_texts(c)
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+    return bound(token_texts(c), lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
+
+
+def is_single_number(c: Column) -> Column:
+    """Whether a cell's one token is a number; never null."""
+    return bound(token_texts(c), lambda found: (F.size(found) == 1) & F.coalesce(F.get(found, F.lit(0)).rlike("^" + NUMBER + "$"), F.lit(False)))
 
 
 def single_number(c: Column) -> Column:
@@ -51,15 +55,18 @@ def parse_number(t: Column) -> Column:
 
 def number_compatibility(a: Column, b: Column) -> Column:
     """1 for equal numbers, 0 for another sign, unit or order of magnitude, else less by half the relative gap."""
-    x, y = parse_number(a), parse_number(b)
-    p, q = x["value"], y["value"]
-    big = F.greatest(F.abs(p), F.abs(q))
-    apart = (p != 0) & (q != 0) & (F.abs(F.log10(F.when(p != 0, F.abs(p))) - F.log10(F.when(q != 0, F.abs(q)))) > 1.0)
-    gap = F.abs(p - q) / F.greatest(big, F.lit(1.0))
-    return (
-        F.when(x.isNull() | y.isNull() | (x["is_percent"] != y["is_percent"]), 0.0).when(p == q, 1.0).when((p < 0) != (q < 0), 0.0)
-        .when(F.coalesce(apart, F.lit(False)), 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - F.least(F.lit(1.0), gap * 0.5)))
-    )
+
+    def of(both: Column) -> Column:
+        x, y = both["x"], both["y"]
+        p, q = x["value"], y["value"]
+        apart = (p != 0) & (q != 0) & (F.abs(F.log10(F.when(p != 0, F.abs(p))) - F.log10(F.when(q != 0, F.abs(q)))) > 1.0)
+        gap = F.abs(p - q) / F.greatest(F.abs(p), F.abs(q), F.lit(1.0))
+        return (
+            F.when(x.isNull() | y.isNull() | (x["is_percent"] != y["is_percent"]), 0.0).when(p == q, 1.0).when((p < 0) != (q < 0), 0.0)
+            .when(F.coalesce(apart, F.lit(False)), 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - F.least(F.lit(1.0), gap * 0.5)))
+        )
+
+    return bound(F.struct(parse_number(a).alias("x"), parse_number(b).alias("y")), of)
 
 
 def date_phrases(c: Column) -> Column:
@@ -90,8 +97,8 @@ def with_row_currency(cells, doc: str = "doc_id"):
     """
     row = Window.partitionBy(doc, "table", "row")
     shown = F.when(F.col("_number"), currency_symbol(F.col("text")))
-    lone = F.when(strip(normalize_text(F.col("text"))).isin("$", "€", "£", "¥"), strip(normalize_text(F.col("text"))))
-    marked = cells.withColumn("_number", F.coalesce(token_kind(single_value(F.col("text"))) == "number", F.lit(False)) & single_value(F.col("text")).isNotNull())
+    lone = bound(strip(normalize_text(F.col("text"))), lambda t: F.when(t.isin("$", "€", "£", "¥"), t))
+    marked = cells.withColumn("_number", is_single_number(F.col("text")))
     marked = marked.withColumn("_own", shown).withColumn("_lone", lone)
     ordered = row.orderBy("order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return marked.withColumn("row_symbol", F.coalesce("_own", F.first("_own", True).over(ordered), F.when(F.col("_lone").isNull(), F.first("_lone", True).over(ordered)))).drop("_number", "_own", "_lone")
@@ -101,7 +108,7 @@ def with_table_currency(cells, doc: str = "doc_id"):
     """Adds ``table_symbol``: $ for large numbers in finance rows near cells that show a symbol and few percentages."""
     near = Window.partitionBy(doc, "table").orderBy("row").rangeBetween(-6, 6)
     token = single_value(F.col("text"))
-    number = token.isNotNull() & (token_kind(token) == "number")
+    number = is_single_number(F.col("text"))
     percents = F.sum(F.when(number & token.endswith("%"), 1).otherwise(0)).over(near)
     shown = F.sum(F.when(currency_symbol(F.col("text")).isNotNull(), 1).otherwise(0)).over(near)
     large = (F.abs(parse_number(token)["value"]) >= 100) | token.contains(",")

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_row_key, visible
-from ..functions.tokens import single_value, token_kind
+from ..functions.tokens import is_single_number
 
 
 def with_slots(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Adds row_key (the row's first visible cell), row_slot (place among visible cells) and numeric_slot."""
     seen = F.col("table_cell") & F.col("table").isNotNull() & visible(F.col("text"))
-    number = seen & single_value(F.col("text")).isNotNull() & (token_kind(single_value(F.col("text"))) == "number")
+    number = seen & is_single_number(F.col("text"))
     w = Window.partitionBy(doc, "table", "row").orderBy("col", "order")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

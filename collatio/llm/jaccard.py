@@ -131,7 +131,9 @@ def early_members(width: int, percent: int, shared):
                 continue
             size = np.array([len(t) for t in toks])
             at, of = np.concatenate(toks), np.repeat(np.array(keep), size)
-            salt = s2[of].view(np.uint64) % salts[counter[at]].astype(np.uint64)
+            k = salts[counter[at]].astype(np.uint64)
+            # 0 stands for an unsalted member only
+            salt = np.where(k > 1, 1 + s2[of].view(np.uint64) % k, 0)
             yield pa.RecordBatch.from_arrays([pa.array(members[at].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(s1[of]), pa.array(s2[of]), pa.array(np.diff(ends)[of].astype(np.int32))], ["tok", "salt", "s1", "s2", "n"])
 
     return run
@@ -149,7 +151,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh[1:] |= (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
         group = np.cumsum(new) - 1
         members = np.bincount(group, fresh)[group]
-        # the salt of a hot member may be 0 too; its other salts tell, so such a lone set is dropped only if salt is 0
+        # a set alone under one salt of a hot member may meet those under its other salts
         keep = fresh & ((members > 1) | (salt > 0))
         return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tok, s1, s2, n)], ["tok", "s1", "s2", "n"])
 

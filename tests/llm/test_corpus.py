@@ -68,6 +68,17 @@ def test_op8(spark):
     assert sorted(map(tuple, jaccard.digest(df).collect())) == linked(rows)
 
 
+def test_op8_a_near_copy_of_many_exact_ones(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 8)
+    rng = random.Random(12)
+    rows = []
+    for g in range(12):  # the two sets of a group may have equal or unequal salts
+        base = [f"g{g}w{rng.random()}" for _ in range(80)]
+        rows += [(100 * g + k, " ".join(base)) for k in range(1, 21)] + [(100 * g + 50, " ".join([*base[:-1], "other"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jaccard.digest(df).collect())) == linked(rows)
+
+
 def test_op8_on_nothing(spark):
     assert jaccard.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")

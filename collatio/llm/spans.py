@@ -1,14 +1,19 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (ends of sentences and lines; a sentence of more than ``UNIT_WORDS`` words goes on as
-a further one, so that a long passage always has several). Every run of ``RUN`` consecutive sentences is hashed;
-runs are joined over the whole corpus, and sentences that any repeated run covers are removed, but for the run's
-first place in the order of (doc_id, text, place).
+A text is cut into sentences at ends of sentences and lines. A sentence of more than ``UNIT_WORDS`` words is cut
+further, after the word with the least hash of any ``UNIT_WORDS`` consecutive ones, so the cuts follow the words and
+not the place where the sentence begins. A run is the shortest from or up to a unit that has ``RUN`` ends of
+sentences or ``RUN_WORDS`` words. Runs are hashed and joined over the whole corpus, and units that any
+repeated run covers are removed, but for the run's first place in the order of (doc_id, text, place).
+
+Any 50 consecutive words that two places share have a run in common, wherever they begin: the first common cut is
+after at most 12 of them and the last one before at most 12, and 26 words are left between. Up to 12 words at either
+edge of such a passage may stay, where its first and last unit go on into other text.
 
 A task keeps only the first of a run among the rows it has read together, so a run that stands in a third of all
 documents is shuffled once a block, not once a row; the others of the block are known to be repeats at once.
 
-Defined cases: null and empty texts stay as they are; a text with fewer sentences than a run is left alone; equal
+Defined cases: null and empty texts stay as they are; a text without a run is left alone; equal
 rows (same doc_id and text) count as one document and get the same result; among rows with one doc_id and
 different texts the text's hash orders; texts may be of any length; other columns can be carried along.
 """
@@ -16,7 +21,10 @@ different texts the text's hash orders; texts may be of any length; other column
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,48 +33,113 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, small_batches
+from .shingles import mix
 
 RUN, UNIT_WORDS = 4, 12
+#: 50 words less a unit at either edge.
+RUN_WORDS = 50 - 2 * UNIT_WORDS
 #: Runs that a task looks at together.
 BLOCK_RUNS = 400_000
 LOWEST = -(1 << 63)
 
 WORD = re.compile(r"\S+\s*")
 ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+SENTENCE_END = re.compile(r"(?<=[.!?])(?=\s+\S)")
 
 
-def sentences(text: str) -> list[str]:
-    """Parts that together are the text."""
-    out: list[str] = []
+class Units(NamedTuple):
+    """Parts that together are the text, their words in lower case, how many, and whether the part ends a sentence."""
+
+    texts: list[str]
+    keys: list[bytes]
+    sizes: list[int]
+    closes: list[bool]
+
+
+def cuts(words: list[bytes]) -> list[int]:
+    """Where a long sentence's units begin, but for the first: after the last of the least hashes of each window."""
+    h = [zlib.crc32(w) for w in words]
+    at, out = -1, []
+    for k in range(UNIT_WORDS - 1, len(h)):
+        if at <= k - UNIT_WORDS or at < 0:
+            window = h[k - UNIT_WORDS + 1 : k + 1]
+            at = k - window[::-1].index(min(window))
+        elif h[k] <= h[at]:
+            at = k
+        else:
+            continue
+        out.append(at + 1)
+    return out[:-1] if out[-1] == len(h) else out
+
+
+def units_of(text: str) -> Units:
+    u = Units([], [], [], [])
     for line in text.splitlines(keepends=True):
         if line.isspace():
-            if out:
-                out[-1] += line
-            else:
-                out.append(line)
-            continue
-        for s in re.split(r"(?<=[.!?])(?=\s+\S)", line):
+            if u.texts:
+                u.texts[-1] += line
+                continue
+        for s in SENTENCE_END.split(line):
             words = s.split()
-            if len(words) <= UNIT_WORDS:
-                out.append(s)
-            else:
+            key = " ".join(words).encode("utf-8", "surrogatepass").lower()
+            if len(words) > UNIT_WORDS:
                 parts = WORD.findall(s)
                 if lead := len(s) - len(s.lstrip()):
                     parts[0] = s[:lead] + parts[0]
-                out += ["".join(parts[i : i + UNIT_WORDS]) for i in range(0, len(parts), UNIT_WORDS)]
-    return out
+                keys = key.split(b" ")
+                i = 0
+                for j in [*cuts(keys), len(parts)]:
+                    u.texts.append("".join(parts[i:j]))
+                    u.keys.append(b" ".join(keys[i:j]))
+                    u.sizes.append(j - i)
+                    u.closes.append(j == len(parts))
+                    i = j
+            else:
+                u.texts.append(s)
+                u.keys.append(key)
+                u.sizes.append(len(words))
+                u.closes.append(True)
+    return u
+
+
+def sentences(text: str) -> list[str]:
+    return units_of(text).texts
+
+
+def runs_in(sizes: list[int], closes: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """First unit and end of each run: the shortest from each unit on, then those up to each unit that aren't among them."""
+    words, closed = (np.concatenate([[0], np.cumsum(np.asarray(x, np.int64))]) for x in (sizes, closes))
+    n = len(sizes)
+    ends = np.minimum(np.searchsorted(words, words[:-1] + RUN_WORDS), np.searchsorted(closed, closed[:-1] + RUN))
+    ends = ends[ends <= n]
+    # from the back: the last unit from which on enough is reached
+    starts = np.maximum(np.searchsorted(words, words[1:] - RUN_WORDS, side="right"), np.searchsorted(closed, closed[1:] - RUN, side="right")) - 1
+    up_to = np.arange(1, n + 1)[starts >= 0]
+    starts = starts[starts >= 0]
+    other = (starts >= len(ends)) | (ends[np.minimum(starts, len(ends) - 1)] != up_to) if len(ends) else np.zeros(0, bool)
+    return np.concatenate([np.arange(len(ends)), starts[other]]), np.concatenate([ends, up_to[other]])
 
 
-def run_hashes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=4)
+def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = (np.full(size, b, np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def power_sums(x: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial of each range of x, modulo 2 ** 64."""
+    up, down = powers(base, 1 << max(12, len(x).bit_length()))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[: len(x)], dtype=np.uint64)])
+    return (total[ends] - total[starts]) * down[starts]
+
+
+def run_hashes(u: Units) -> tuple[np.ndarray, np.ndarray]:
     """64 and 32 bits of the hash of each run, which white space and the case of A-Z don't change."""
-    each = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(u.translate(ASCII_LOWER).split())) for u in units), np.uint64, len(units))
-    n = len(units) - RUN + 1
-    h, g = np.full(n, 0x9E3779B97F4A7C15, np.uint64), np.full(n, 0xC2B2AE3D27D4EB4F, np.uint64)
-    for i in range(RUN):
-        h = (h ^ each[i : i + n]) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        g = (g + each[i : i + n]) * np.uint64(0x94D049BB133111EB)
-        g ^= g >> np.uint64(31)
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, u.keys), np.uint64, len(u.keys))
+    starts, ends = runs_in(u.sizes, u.closes)
+    h = mix(power_sums(each, 0x9E3779B97F4A7C15, starts, ends) ^ (ends - starts).astype(np.uint64))
+    g = mix(power_sums(mix(each), 0xBF58476D1CE4E5B9, starts, ends))
     return h, g >> np.uint64(32)
 
 
@@ -102,11 +175,10 @@ def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not text:
                 continue
-            units = sentences(text)
-            if len(units) < RUN:
-                continue
-            h, g = run_hashes(units)
+            h, g = run_hashes(units_of(text))
             n = len(h)
+            if not n:
+                continue
             held.append((h, g, np.full(n, ident, np.int64), np.full(n, text_hash(text), np.int64), np.arange(n, dtype=np.int64)))
             size += n
             if size >= BLOCK_RUNS:
@@ -150,20 +222,20 @@ def keys(docs: DataFrame) -> list:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(_d, _t, starts): of each document, by id and text hash, the places where a repeated run begins."""
+    """(_d, _t, starts): of each document, by id and text hash, the places of repeated runs in ``runs_in``."""
     small_batches(docs.sparkSession)
     runs = docs.select(*keys(docs)).mapInArrow(lean(runs_of), RUNS)
     met = runs.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(lean(repeats_of), "_d long, _t long, pos int")
     return met.groupBy("_d", "_t").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
 
 
-def strip(text: str, starts: list[int]) -> tuple[str, int, list[tuple[int, int]]]:
+def strip(text: str, runs: list[int]) -> tuple[str, int, list[tuple[int, int]]]:
     """(what is left, sentences, spans of removed sentences as first and end)."""
-    units = sentences(text)
+    units, _, sizes, closes = units_of(text)
+    firsts, ends = runs_in(sizes, closes)
     gone = np.zeros(len(units) + 1, np.int64)
-    for s in starts:
-        gone[s] += 1
-        gone[min(len(units), s + RUN)] -= 1
+    np.add.at(gone, firsts[runs], 1)
+    np.add.at(gone, ends[runs], -1)
     covered = np.cumsum(gone)[:-1] > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
     spans = [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]

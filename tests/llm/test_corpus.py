@@ -139,6 +139,31 @@ def test_a_long_passage_is_cut_whichever_way_it_is_written(spark):
         assert not any(f"p{i}" in got[1].text.replace(".", " ").split() for i in range(55)) and "d1x" in got[1].text
 
 
+def test_any_fifty_shared_words_have_a_run_in_common():
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(400)] + ["the"] * 100
+
+    def prose(n, tag=""):
+        return [rng.choice(vocabulary) + tag + (rng.choice(".,!?") if rng.random() < 0.12 else "") for _ in range(n)]
+
+    for _ in range(600):
+        passage = [w.rstrip(".!?") if rng.random() < 0.5 else w for w in prose(50)]
+        hosts = [" ".join([*prose(rng.randint(0, 40), k), *passage, *prose(rng.randint(0, 40), k)]) for k in "ab"]
+        runs = [set(zip(*map(np.ndarray.tolist, spans.run_hashes(spans.units_of(t))), strict=True)) for t in hosts]
+        assert runs[0] & runs[1], hosts
+        assert all("".join(spans.sentences(t)) == t for t in hosts)
+
+
+def test_op3_cuts_a_passage_within_a_sentence(spark):
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(55))
+    rows = [(k, " ".join(f"d{k}x{rng.random()}" for _ in range(5 + 4 * k)) + ", " + passage + " " + " ".join(f"e{k}x{rng.random()}" for _ in range(20)) + ".") for k in range(3)]
+    got = {r.doc_id: r.text.split() for r in spans.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert " ".join(got[0]) == rows[0][1]
+    for k in (1, 2):
+        assert not {f"p{i}" for i in range(12, 43)} & set(got[k]) and sum(w.startswith("d") for w in got[k]) > 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 5000, 70_000])
 def test_matroska_round_trip(n):
     size, payload = matroska.payload_of("é" * n)

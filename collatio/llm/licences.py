@@ -1,7 +1,9 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-Texts are cut into sentences; a sentence is lower-cased and reduced to its letters and digits, and looked up in a
-table of known licence sentences. A rule is an ordered list of sentence identifiers; it matches where a document's
+Texts are cut at ends of sentences and lines; what lies between is lower-cased and reduced to its letters and digits,
+and looked up in a table of known licence sentences. One that is wrapped over lines or holds a mark at which texts are
+cut ("WARRANTY; without even", "v. 2.0") is put together from its parts first; places stay those of the parts. Between
+the sentences of a rule, numbers of a list and lines of copyright and year don't count. A rule is an ordered list of sentence identifiers; it matches where a document's
 sentences have these identifiers one after another. Matches that lie inside a longer match are dropped.
 
 Sentences are looked up by a broadcast join with the table of known sentences, whose size is that of this file.
@@ -14,7 +16,10 @@ repeated matches only once; sentences may be of any length; other columns are ig
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Sentences of public licences and their usual notices, normalised, by identifier.
@@ -96,37 +101,67 @@ def rule_steps(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({_quoted(r)}, {_quoted(lic)}, {n}, {k}, {_quoted(s)})" for r, lic, n, k, s in rows) + " AS t(rule_id, license_id, steps, step, sentence_id)")
 
 
+def normalised(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def merging(sentence: str) -> str:
+    """A pattern for lines ``place, tab, words`` that one after another are this sentence; a number of a list may lead."""
+    return r"\n(\d+)\t(?:\d{1,2} )?" + r"(?: |\n\d+\t)".join(w if w != "http" else "https?" for w in sentence.split()) + r"(?=\n)"
+
+
+#: Lines that may stand between the sentences of a rule: numbers and letters of lists, and whose copyright it is.
+BETWEEN = r"^\d+\t([0-9]{1,2}|[a-z]|[ivx]{1,4}|copyright( c)? [0-9]{4}\b.*)$"
+
+
 def sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, norm): sentences in order; those without a letter or digit don't count."""
+    """(doc_id, version, seq, pos, last, norm) of the documents in which a known sentence stands.
+
+    pos and last: the first and last part of the text, cut at ends of sentences and lines, parts without a letter or
+    digit not counted. Parts that together are a known sentence are put together. seq counts what then is there.
+    """
+    text = docs["text"].cast("string")
+    flat = F.concat(F.lit(" "), F.replace(normalised(text), F.lit(" https "), F.lit(" http ")), F.lit(" "))
+    cut = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), flat.alias("flat")).where(F.col("text").isNotNull())
+    cut = cut.where(reduce(or_, [F.col("flat").contains(f" {s} ") for s in SENTENCES.values()]))
     lines = F.split(F.regexp_replace(F.col("text"), r"([.!?;:])\s+", "$1\n"), "\n")
-    worded = F.filter(lines, lambda s: s.rlike("[A-Za-z0-9]"))
-    cut = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where(F.col("text").isNotNull())
-    norm = F.trim(F.regexp_replace(F.lower("sentence"), "[^a-z0-9]+", " "))
-    return cut.select("doc_id", F.posexplode(worded).alias("pos", "sentence")).select("doc_id", "pos", norm.alias("norm"))
+    parts = F.filter(lines, lambda s: s.rlike("[A-Za-z0-9]"))
+    placed = F.transform(parts, lambda s, i: F.concat(i.cast("string"), F.lit("\t"), normalised(s)))
+    whole = F.concat(F.lit("\n"), F.array_join(placed, "\n"), F.lit("\n"))
+    # longer sentences first, as some begin with another
+    for s in sorted(SENTENCES.values(), key=len, reverse=True):
+        whole = F.regexp_replace(whole, merging(s), "\n$1\t" + s)
+    cut = cut.select("doc_id", F.xxhash64("text").alias("version"), F.size(parts).alias("parts"), F.split(F.substring(whole, 2, 1 << 30), "\n").alias("lines"))
+    # the end of a line's place is the next one's beginning, so it is told before lines between are left out
+    place = lambda x: F.substring_index(x, "\t", 1).try_cast("int")
+    told = F.transform("lines", lambda x, i: F.struct(x.alias("line"), (F.coalesce(place(F.get("lines", i + 1)), F.col("parts")) - 1).alias("last")))
+    told = F.filter(told, lambda x: (x["line"] != "") & ~x["line"].rlike(BETWEEN))
+    return cut.select("doc_id", "version", F.posexplode(told).alias("seq", "x")).select("doc_id", "version", "seq", place(F.col("x.line")).alias("pos"), "x.last", F.substring_index("x.line", "\t", -1).alias("norm"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, license_id, rule_id, first_sentence, last_sentence) of every match that no longer one holds."""
     spark = docs.sparkSession
-    found = sentences(docs).join(F.broadcast(known_sentences(spark)), "norm").select("doc_id", "pos", "sentence_id")
+    found = sentences(docs).join(F.broadcast(known_sentences(spark)), "norm").drop("norm")
     # every known sentence, as each step it could be of each rule; both tables are constants of this module
-    steps = found.join(F.broadcast(rule_steps(spark)), "sentence_id").withColumn("first_sentence", F.col("pos") - F.col("step"))
+    steps = found.join(F.broadcast(rule_steps(spark)), "sentence_id").withColumn("first", F.col("seq") - F.col("step"))
     whole = (
-        steps.groupBy("doc_id", "rule_id", "license_id", "steps", "first_sentence")
-        .agg(F.countDistinct("step").alias("got"))
+        steps.groupBy("doc_id", "version", "rule_id", "license_id", "steps", "first")
+        .agg(F.countDistinct("step").alias("got"), F.min("pos").alias("first_sentence"), F.max("last").alias("last_sentence"))
         .where("got = steps")
-        .withColumn("last_sentence", F.col("first_sentence") + F.col("steps") - 1)
+        .drop("got")
     )
     # every sentence that a match covers, with the longest match over it; a match stays if none longer is over some of its sentences
-    covered = whole.select(F.col("doc_id").alias("_d"), F.col("steps").alias("_n"), F.explode(F.sequence("first_sentence", "last_sentence")).alias("_at"))
-    over = covered.groupBy("_d", "_at").agg(F.max("_n").alias("most"))
+    over_all = F.explode(F.sequence("first", F.col("first") + F.col("steps") - 1))
+    covered = whole.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), F.col("steps").alias("_n"), over_all.alias("_at"))
+    over = covered.groupBy("_d", "_v", "_at").agg(F.max("_n").alias("most"))
     held = (
-        whole.select("*", F.explode(F.sequence("first_sentence", "last_sentence")).alias("at"))
-        .join(over, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("at") == F.col("_at")))
-        .groupBy("doc_id", "rule_id", "license_id", "first_sentence", "last_sentence", "steps")
+        whole.select("*", over_all.alias("at"))
+        .join(over, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("version") == F.col("_v")) & (F.col("at") == F.col("_at")))
+        .groupBy("doc_id", "version", "rule_id", "license_id", "first", "first_sentence", "last_sentence", "steps")
         .agg(F.min("most").alias("least"))
     )
-    return held.where("least <= steps").select("doc_id", "license_id", "rule_id", F.col("first_sentence").cast("int").alias("first_sentence"), F.col("last_sentence").cast("int").alias("last_sentence"))
+    return held.where("least <= steps").select("doc_id", "license_id", "rule_id", "first_sentence", "last_sentence").distinct()
 
 
 ORACLE_SQL = (

@@ -228,6 +228,89 @@ def test_op10(spark):
     assert got == [("1", "MIT", "mit-text-titled", 1, 5), ("3", "CC-BY-NC-4.0", "cc-by-nc-reference", 0, 0), ("3", "MIT", "mit-reference", 1, 1), ("None", "proprietary", "all-rights-reserved", 0, 0)]
 
 
+PUBLISHED = {
+    "mit-text-titled": """MIT License
+
+Copyright (c) 2024 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+    "apache-header": """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       https://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.""",
+    "gpl-3-notice-copy": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "gpl-2-notice": """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+ * implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for
+ * more details.""",
+    "bsd-3-text": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3) Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "mpl-2-header": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+}
+
+
+def test_op10_licences_as_published(spark):
+    rows = [(k, text) for k, text in enumerate(PUBLISHED.values())] + [(50, "One more.\n" + PUBLISHED["mpl-2-header"] + "\nAnd text.")]
+    rows += [(100 + k, text.replace("\n\n", "\n").replace("\n", " ")) for k, text in enumerate(PUBLISHED.values()) if "mit" not in text.lower() and "*" not in text]
+    got = collections.defaultdict(list)
+    for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].append((r.rule_id, r.first_sentence, r.last_sentence))
+    names = list(PUBLISHED)
+    assert {d: [x[0] for x in found] for d, found in got.items()} == {d: ["mpl-2-header" if d == 50 else names[d % 100]] for d, _ in rows}
+    assert got[50] == [("mpl-2-header", 1, 5)] and got[0] == [("mit-text-titled", 0, 17)]
+
+
 def sample(lang, rng, n):
     parts = {"en": ["the", "ing", "tion", "of ", "and"], "de": ["sch", "ung", "der ", "keit", "ß"], "fr": ["eau", "ment", "le ", "oi", "é"]}[lang]
     return "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(n))

@@ -64,20 +64,29 @@ def best_of(scores: DataFrame, floor: float) -> DataFrame:
     return scores.where(F.round("score", 9) >= floor).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def one_to_one(scores: DataFrame, floor: float, rounds: int = 3) -> DataFrame:
-    """Pairs that are each other's best, in rounds; what a round takes is gone for the next.
+def one_to_one(scores: DataFrame, floor: float) -> DataFrame:
+    """Pairs that are each other's best, in rounds until none is left; what a round takes is gone for the next.
 
+    Ties go to the lowest order on both sides. Where blocks of both sides all tie with one another, as copies of one
+    line do, the n-th of one side takes the n-th of the other in the same round, as single rounds would in the end.
     Each round's rest is written once, so the plan doesn't double from round to round.
     """
     left = cut(scores.where(F.round("score", 9) >= floor))
-    taken: DataFrame | None = None
-    by = lambda k, o: Window.partitionBy("pair_id", k).orderBy(F.desc(F.round("score", 9)), o)
-    for n in range(rounds):
-        ranked = left.withColumn("_l", F.row_number().over(by("left_order", "right_order"))).withColumn("_r", F.row_number().over(by("right_order", "left_order")))
-        got = cut(ranked.where("_l = 1 and _r = 1").select(*scores.columns))
-        taken = got if taken is None else taken.unionByName(got)
-        if n + 1 < rounds:
-            left = cut(left.join(got.select("pair_id", "left_order"), ["pair_id", "left_order"], "left_anti").join(got.select("pair_id", "right_order"), ["pair_id", "right_order"], "left_anti"))
+    taken = left.limit(0)
+    by = lambda *k: Window.partitionBy("pair_id", *k)
+    place = lambda k, o: F.row_number().over(by(k).orderBy(F.desc("_s"), o))
+    told = lambda c, w, cond: F.struct(F.count(F.when(cond, 1)).over(w), F.sum(F.when(cond, F.xxhash64(c).cast("decimal(20,0)"))).over(w))
+    while not left.isEmpty():
+        ties = left.withColumn("_s", F.round("score", 9)).withColumn("_a", F.max("_s").over(by("left_order"))).withColumn("_b", F.max("_s").over(by("right_order")))
+        ties = ties.withColumn("_j", place("left_order", "right_order")).withColumn("_i", place("right_order", "left_order"))
+        # the blocks that are best for each; if all of them are told the same, every block of a group ties with every other
+        ties = ties.withColumn("_l", told("right_order", by("left_order"), F.expr("_s = _a"))).withColumn("_r", told("left_order", by("right_order"), F.expr("_s = _b"))).where("_s = _a and _s = _b")
+        ties = ties.withColumn("_whole", (told("left_order", by("right_order", "_l"), F.lit(True)) == F.col("_r")) & (told("right_order", by("left_order", "_r"), F.lit(True)) == F.col("_l")))
+        got = cut(ties.where("_whole and _i = _j or _i = 1 and _j = 1").select(*scores.columns))
+        if got.isEmpty():
+            break
+        taken = taken.unionByName(got)
+        left = cut(left.join(got.select("pair_id", "left_order"), ["pair_id", "left_order"], "left_anti").join(got.select("pair_id", "right_order"), ["pair_id", "right_order"], "left_anti"))
     return taken
 
 

@@ -131,6 +131,32 @@ def test_staged_is_one_to_one(spark):
     assert sorted((r.left_order, r.right_order, r.match_type) for r in got) == [(0, 0, "exact"), (2, 1, "approx")]
 
 
+def test_one_to_one_leaves_no_pair(spark):
+    import random
+
+    def by_hand(rows):
+        out, a, b = [], set(), set()
+        for p, i, j, s in sorted(rows, key=lambda r: (r[0], -r[3], r[1], r[2])):
+            if s >= 0.73 and (p, i) not in a and (p, j) not in b:
+                out.append((p, i, j))
+                a.add((p, i))
+                b.add((p, j))
+        return sorted(out)
+
+    rng = random.Random(9)
+    rows = [(1, i, j, 0.8) for i in range(30) for j in range(25)]  # one line edited the same way each time
+    rows += [(2, i, j, 0.75 + 0.01 * (i + j)) for i in range(8) for j in (i, i + 1)]  # a chain of rivals
+    rows += [(p, i, j, rng.choice([0.7, 0.8, 0.9])) for p in (3, 4, 5) for i in range(9) for j in range(9) if rng.random() < 0.6]
+    got = matching.one_to_one(spark.createDataFrame(rows, "pair_id long, left_order int, right_order int, score double"), 0.73)
+    assert sorted((r.pair_id, r.left_order, r.right_order) for r in got.collect()) == by_hand(rows)
+
+
+def test_staged_pairs_every_copy_of_an_edited_line(spark):
+    made = lambda word: spark.createDataFrame([(1, i, f"the same long line of words {word}") for i in range(6)], "pair_id long, order int, text string")
+    got = matching.staged(made("edited"), made("changed")).collect()
+    assert sorted((r.left_order, r.right_order, r.match_type) for r in got) == [(i, i, "approx") for i in range(6)]
+
+
 @pytest.mark.parametrize("text,tier", [("The word is different, a in html while b in word.", "critical"), ("Formatting differs: x", "formatting"), ("The paragraph text is different. x", "text"), ("x was not found in the HTML.", "structural"), ("The words are extra in html, a b.", "informational")])
 def test_tiers(spark, text, tier):
     from pyspark.sql import functions as F

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.roles import page_chrome
-from ..functions.text import normalize_for_compare, normalize_without_refs, visible
+from ..functions.similarity import overlap_ratio, similarity_of
+from ..functions.text import bag, bigrams, normalize_for_compare, normalize_without_refs, visible
 
 CRITICAL = (
     "the word is different", "the number is different", "the date is different", "the currency symbol is different", "the percent sign is different", "the symbol is different",
@@ -86,6 +87,24 @@ def collapse(comments: DataFrame) -> DataFrame:
     return g.select("pair_id", "right_order", "seq", "token_index", F.when(F.col("n") == 2, both).otherwise(F.col("contents")).alias("contents"))
 
 
+def anchors(blocks: DataFrame, left: DataFrame) -> DataFrame:
+    """Those of the blocks (pair_id, page, order, text) that equal, nearly equal or share most tokens with one of left.
+
+    Blocks of under three tokens and 24 characters are none. A pair that passes has a token in common, so pairs are
+    met through their tokens.
+    """
+    made = lambda d, key, k: d.withColumn(k, key).withColumn(k + "t", bag(F.col(k))).withColumn(k + "g", bigrams(F.col(k)))
+    key = normalize_without_refs(F.col("text"))
+    a = made(blocks.where((F.size(bag(F.col("text"))) >= 3) | (F.length(normalize_for_compare(F.col("text"))) >= 24)), key, "a")
+    b = made(left.select("pair_id", key.alias("b")).where("b <> ''").distinct(), F.col("b"), "b")
+    names = ["pair_id", "page", "order"]
+    met = a.select(*names, F.explode(F.array_distinct("at")).alias("token")).join(b.select("pair_id", "b", F.explode(F.array_distinct("bt")).alias("token")), ["pair_id", "token"]).select(*names, "b").distinct()
+    c = F.col
+    near = F.round(similarity_of(c("at"), c("bt"), c("ag"), c("bg"), c("a"), c("b")), 9) >= 0.9
+    near = near | (F.greatest(overlap_ratio(c("at"), c("bt")), overlap_ratio(c("bt"), c("at"))) >= 0.82)
+    return met.join(a, names).join(b, ["pair_id", "b"]).where((c("a") == c("b")) | near).select(*names).distinct()
+
+
 def page_summary(right: DataFrame, left: DataFrame, matches: DataFrame, least: int = 5) -> DataFrame:
     """One comment for each page with ``least`` unmatched blocks or more, none matched, and no anchor for its first three.
 
@@ -95,8 +114,7 @@ def page_summary(right: DataFrame, left: DataFrame, matches: DataFrame, least: i
     ok = visible(F.col("text")) & ~page_chrome(F.col("text"))
     pages = taken.groupBy("pair_id", "page").agg(F.count("hit").alias("matched"), F.sum(F.when(F.col("hit").isNull() & ok, 1).otherwise(0)).alias("loose"), F.array_sort(F.collect_list(F.when(F.col("hit").isNull() & ok, F.struct("order", "text")))).alias("blocks"))
     pages = pages.where((F.col("matched") == 0) & (F.col("loose") >= least)).withColumn("top", F.slice("blocks", 1, 3))
-    tops = pages.select("pair_id", "page", F.explode("top").alias("b")).withColumn("k", normalize_without_refs(F.col("b.text")))
-    anchored = tops.join(left.select("pair_id", normalize_without_refs(F.col("text")).alias("k")).distinct(), ["pair_id", "k"], "left_semi").select("pair_id", "page").distinct()
+    anchored = anchors(pages.select("pair_id", "page", F.explode("top").alias("b")).select("pair_id", "page", "b.order", "b.text"), left).select("pair_id", "page").distinct()
     said = "This PDF page contains content with no corresponding content in the Word document."
     return pages.join(anchored, ["pair_id", "page"], "left_anti").select("pair_id", "page", F.col("top")[0]["order"].alias("right_order"), F.lit(said).alias("contents"))
 

@@ -157,6 +157,15 @@ def test_staged_pairs_every_copy_of_an_edited_line(spark):
     assert sorted((r.left_order, r.right_order, r.match_type) for r in got) == [(i, i, "approx") for i in range(6)]
 
 
+def test_page_summary_anchors(spark):
+    first = {1: "alpha beta gamma delta epsilon zeta", 2: "alpha beta gamma delta epsilon zetas", 3: "alpha beta gamma delta epsilon one", 4: "Total sum", 5: "nothing like any other text"}
+    rows = [(1, p, 10 * p + k, t if not k else f"page {'abcdef'[p]} loose {'abcdef'[k]} unlike") for p, t in first.items() for k in range(5)]
+    right = spark.createDataFrame(rows, "pair_id long, page int, order int, text string")
+    left = spark.createDataFrame([(1, 0, "alpha beta gamma delta epsilon zeta"), (1, 1, "Total sum"), (1, 2, "")], "pair_id long, order int, text string")
+    none = spark.createDataFrame([], "pair_id long, right_order int")
+    assert sorted(r.page for r in review.page_summary(right, left, none).collect()) == [4, 5]
+
+
 @pytest.mark.parametrize("text,tier", [("The word is different, a in html while b in word.", "critical"), ("Formatting differs: x", "formatting"), ("The paragraph text is different. x", "text"), ("x was not found in the HTML.", "structural"), ("The words are extra in html, a b.", "informational")])
 def test_tiers(spark, text, tier):
     from pyspark.sql import functions as F

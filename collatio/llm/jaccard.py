@@ -6,13 +6,15 @@ that is the same for all; the order here puts rare members first, by a count ske
 corpus (a wrong count costs time, not links). So the sets that hold a member early make a block, and blocks are
 cut into bands of set size, in which sizes don't rule a link out.
 
-Round 1 compares each set with the least of its block and band. What then isn't in one component of links is
-compared in round 2, all sets of neighbouring bands of a block in tiles of bounded size, but for pairs that a
-component already holds. In both rounds the bits that two bitmaps don't share bound the overlap from above; pairs
-that pass are intersected exactly. No pair of sets that could join two components is left out.
+A set with no other of a fitting size in its block leaves the block. In the star rounds each set is compared with
+one leader of its block and band, another one in each round. What then isn't in one component of links is compared
+in tiles of bounded size, all sets of neighbouring bands of a block, but for pairs that a component already holds or
+a star round compared. Everywhere the bits that two bitmaps don't share bound the overlap from above; pairs that pass
+are intersected exactly. No pair of sets that could join two components is left out.
 
-A member that very many sets hold early is salted over tasks; leaders are found by partial aggregation; pairs of
-one leader are dealt in portions. Nothing that grows with the corpus comes to the driver.
+A member that very many sets hold early is salted over tasks, from the first shuffle to the tiles; leaders are found
+by partial aggregation; pairs of one leader are dealt in portions. Nothing that grows with the corpus comes to the
+driver.
 
 Defined cases: null, empty and blank texts have no members, and link with nothing; equal rows link; rows that share
 a doc_id are rows of their own with the same id; a null doc_id counts as the lowest id and is given back as null.
@@ -21,7 +23,6 @@ a doc_id are rows of their own with the same id; a null doc_id counts as the low
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,17 +39,19 @@ LOWEST = -(1 << 63)
 #: The sketch: counters, and how many of them travel in a row.
 COUNTERS, SLOT = 1 << 20, 1 << 14
 #: Sets of a hot member that one task takes; rows of a tile's side; pairs of one leader in a portion.
-HOT, TILE, PORTION = 2000, 1024, 1000
+HOT, TILE, PORTION = 2000, 512, 1000
+#: Rounds in which each set meets one leader of its block.
+STARS = 2
 #: Bits of the filter that tells which documents' sets are fetched; when full it only stops sparing work.
 BLOOM = 1 << 23
 SEEN_MOST = 500_000
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LOWEST)).alias("d"), docs["text"].cast("string").alias("text"))
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LOWEST)).alias("d"), docs["text"].cast("string").alias("text"), F.xxhash64(docs["text"].cast("string")).alias("h"))
 
 
-SETS = "kind int, d long, n int, s1 long, s2 long, data binary"
+SETS = "kind int, d long, h long, n int, s1 long, s2 long, data binary"
 
 
 def describe(width: int):
@@ -70,12 +73,12 @@ def describe(width: int):
                     seen.add(name)
                 maps.append(bitmap(members[ends[i] : ends[i + 1]]) if new else None)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), pa.array(np.diff(ends).astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(maps, pa.binary())], ["kind", "d", "n", "s1", "s2", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), batch.column(2), pa.array(np.diff(ends).astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(maps, pa.binary())], ["kind", "d", "h", "n", "s1", "s2", "data"])
         pack = zstandard.ZstdCompressor(level=1)
         used = [k for k in range(COUNTERS // SLOT) if counts[k * SLOT : (k + 1) * SLOT].any()]
         data = [pack.compress(counts[k * SLOT : (k + 1) * SLOT].tobytes()) for k in used]
         m = len(used)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.array(used, np.int64)), pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(data, pa.binary())], ["kind", "d", "n", "s1", "s2", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.array(used, np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(data, pa.binary())], ["kind", "d", "h", "n", "s1", "s2", "data"])
 
     return run
 
@@ -99,7 +102,7 @@ def sketch_of(parts: DataFrame) -> np.ndarray:
     return out
 
 
-EARLY = "tok long, salt int, s1 long, s2 long, n int"
+EARLY = "tok long, salt int, salts int, s1 long, s2 long, n int"
 
 
 def early_members(width: int, percent: int, shared):
@@ -134,38 +137,49 @@ def early_members(width: int, percent: int, shared):
             k = salts[counter[at]].astype(np.uint64)
             # 0 stands for an unsalted member only
             salt = np.where(k > 1, 1 + s2[of].view(np.uint64) % k, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(members[at].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(s1[of]), pa.array(s2[of]), pa.array(np.diff(ends)[of].astype(np.int32))], ["tok", "salt", "s1", "s2", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(members[at].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(s1[of]), pa.array(s2[of]), pa.array(np.diff(ends)[of].astype(np.int32))], ["tok", "salt", "salts", "s1", "s2", "n"])
 
     return run
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows ordered by (tok, salt, s1, s2): each set once in its block; blocks of one set go, but for salted ones."""
-    rest: list[np.ndarray] | None = None
+BLOCKS = "tok long, salt int, salts int, s1 long, s2 long, n int"
+
+
+def blocks(percent: int):
+    """From rows ordered by (tok, salt, s1, s2): each set once in its block, if the block has another of a fitting size.
+
+    A set of a salted member always stays, as it may meet those under other salts.
+    """
 
     def settled(c: list[np.ndarray]) -> pa.RecordBatch:
-        tok, salt, s1, s2, n = c
+        tok, salt, salts, s1, s2, n = c
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (salt[1:] != salt[:-1])
         fresh = new.copy()
         fresh[1:] |= (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
-        group = np.cumsum(new) - 1
-        members = np.bincount(group, fresh)[group]
-        # a set alone under one salt of a hot member may meet those under its other salts
-        keep = fresh & ((members > 1) | (salt > 0))
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tok, s1, s2, n)], ["tok", "s1", "s2", "n"])
-
-    for batch in batches:
-        c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-        if rest is not None:
-            c = [np.concatenate(x) for x in zip(rest, c, strict=True)]
-        last = np.flatnonzero((c[0] != c[0][-1]) | (c[1] != c[1][-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if cut:
-            yield settled([x[:cut] for x in c])
-        rest = [x[cut:] for x in c]
-    if rest is not None and len(rest[0]):
-        yield settled(rest)
+        at, group, sizes = np.flatnonzero(fresh), np.cumsum(new), n.astype(np.int64)
+        at = at[np.lexsort((sizes[at], group[at]))]
+        near = (group[at][1:] == group[at][:-1]) & (100 * sizes[at][:-1] >= percent * sizes[at][1:])
+        keep = salts[at] > 1
+        keep[1:] |= near
+        keep[:-1] |= near
+        return pa.RecordBatch.from_arrays([pa.array(x[at[keep]]) for x in c], [x.split()[0] for x in BLOCKS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            if rest is not None:
+                c = [np.concatenate(x) for x in zip(rest, c, strict=True)]
+            last = np.flatnonzero((c[0] != c[0][-1]) | (c[1] != c[1][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield settled([x[:cut] for x in c])
+            rest = [x[cut:] for x in c]
+        if rest is not None and len(rest[0]):
+            yield settled(rest)
+
+    return run
 
 
 def words_of(data: bytes) -> np.ndarray:
@@ -205,7 +219,8 @@ def tiles(percent: int):
         size = min(len(r["data"]) for r in rows) // 8
         m = np.array([fold(words_of(r["data"]), size) for r in rows])
         n = np.array([r["n"] for r in rows], np.int64)
-        comp, u = np.array([r["comp"] for r in rows]), np.array([r["u"] for r in rows])
+        comp, u, part = (np.array([r[k] for r in rows]) for k in ("comp", "u", "t"))
+        guest = np.arange(len(rows)) >= len(own)
         left, right = [], []
         alone = rows[0]["i"] == rows[0]["j"]
         for k in range(len(own)):
@@ -213,7 +228,7 @@ def tiles(percent: int):
             rest = np.arange(k + 1, len(rows)) if alone else np.arange(len(rows))
             rest = rest[(comp[rest] != comp[k])]
             if not alone:
-                rest = rest[[rows[x]["t"] != own[k]["t"] and (rows[x]["guest"] or u[x] > u[k]) for x in rest]]
+                rest = rest[(part[rest] != part[k]) & (guest[rest] | (u[rest] > u[k]))]
             low, high = np.minimum(n[rest], n[k]), np.maximum(n[rest], n[k])
             rest = rest[100 * low >= percent * high]
             if not len(rest):
@@ -271,7 +286,7 @@ def bloom_of(ids: DataFrame) -> np.ndarray:
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at // (per // 64)), pa.array((at % (per // 64)).astype(np.int32)), pa.array(words[at])], ["slot", "at", "word"])
 
-    rows = ids.select("d").coalesce(8).mapInArrow(bits, "slot long, at int, word long").groupBy("slot", "at").agg(F.bit_or("word").alias("word"))
+    rows = ids.select("d").mapInArrow(lean(bits), "slot long, at int, word long").groupBy("slot", "at").agg(F.bit_or("word").alias("word"))
     joined = rows.groupBy("slot").agg(F.collect_list(F.struct("at", "word")).alias("w"))
     out = np.zeros(BLOOM // 64, np.int64)
     for slot, words in joined.collect():
@@ -334,22 +349,29 @@ def verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, per
     """Those of the pairs (a, b) of set numbers whose sets link, by exact intersection."""
     spark = pairs.sparkSession
     pairs = checkpointed(pairs)
-    need = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct().join(sets.select("u", "d", "s1", "s2"), "u")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct().join(sets.select("u", "d", "s1", "s2"), "u")
     need = checkpointed(need)
     passes = spark.sparkContext.broadcast(bloom_of(need))
-    got = rows.mapInArrow(lean(fetched(width, passes)), "s1 long, s2 long, data binary").groupBy("s1", "s2").agg(F.first("data").alias("data"))
-    members = got.join(need.select("u", "s1", "s2"), ["s1", "s2"]).select("u", "data")
+    got = rows.select("d", "text").mapInArrow(lean(fetched(width, passes)), "s1 long, s2 long, data binary")
+    # each task gives a set once; the join's partitioning serves the aggregation too
+    members = got.join(need.select("u", "s1", "s2"), ["s1", "s2"]).groupBy("s1", "s2", "u").agg(F.first("data").alias("data")).select("u", "data")
     members = checkpointed(members)
+    passes.unpersist()
     portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("p"))
     dealt = pairs.join(portions, "a").select("a", F.pmod(F.xxhash64("b"), F.col("p")).cast("int").alias("portion"), "b")
     guests = dealt.join(members, dealt["b"] == members["u"]).select("a", "portion", "b", "data")
     leaders = portions.select("a", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("portion")).join(members, F.col("a") == members["u"]).select("a", "portion", F.lit(None).cast("long").alias("b"), "data")
     met = guests.unionByName(leaders).repartition("a", "portion").sortWithinPartitions("a", "portion", F.asc_nulls_first("b"))
-    return met.mapInArrow(lean(intersected(percent)), PAIRS)
+    return checkpointed(met.mapInArrow(lean(intersected(percent)), PAIRS))
+
+
+def every_salt(salts: str):
+    """One row for each salt under which a block's rows lie."""
+    return F.explode(F.when(F.col(salts) > 1, F.sequence(F.lit(1), F.col(salts))).otherwise(F.array(F.lit(0)))).alias("salt")
 
 
 def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """(d, n, comp): every row of docs with the size of its set and a number of its component (null without members)."""
+    """(d, h, n, comp): every row of docs with its text's hash, the size of its set and a number of its component (null without members)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = rows_of(docs)
@@ -359,43 +381,56 @@ def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     told = spark.read.schema(SETS).parquet(f"{folder}/sets")
     listed = told.where("kind = 0").drop("kind")
     sketch = spark.sparkContext.broadcast(sketch_of(told.where("kind = 1")))
-    sets = checkpointed(
-        listed.where("n > 0").groupBy("s1", "s2").agg(F.min("d").alias("d"), F.max("n").alias("n"), F.max("data").alias("data")).withColumn("u", F.monotonically_increasing_id())
-    )
+    sets = checkpointed(listed.where("n > 0").groupBy("s1", "s2").agg(F.min("d").alias("d"), F.max("n").alias("n")).withColumn("u", F.monotonically_increasing_id()))
     # the band of a size: two sizes that don't rule a link out lie in the same or in neighbouring bands
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100) * 1.0000001)).cast("int")
     early = rows.mapInArrow(lean(early_members(width, percent, sketch)), EARLY).repartition("tok", "salt").sortWithinPartitions("tok", "salt", "s1", "s2")
-    early.mapInArrow(lean(blocks), "tok long, s1 long, s2 long, n int").write.parquet(f"{folder}/blocks-{uuid.uuid4().hex}")
-    held = spark.read.schema("tok long, s1 long, s2 long, n int").parquet(f"{folder}/blocks-*").withColumn("band", band)
-    held = held.join(sets.select("s1", "s2", "u"), ["s1", "s2"]).select("tok", "band", "n", "u")
-    held = checkpointed(held)
+    met = early.mapInArrow(lean(blocks(percent)), BLOCKS)
+    held = checkpointed(met.join(sets.select("s1", "s2", "u"), ["s1", "s2"]).select("tok", band.alias("band"), "salt", "salts", "u"))
+    used = held.select("u").distinct().join(sets.select("u", "s1", "s2"), "u")
+    maps = checkpointed(listed.where("data is not null").join(used, ["s1", "s2"]).groupBy("s1", "s2", "u").agg(F.max("n").alias("n"), F.first("data").alias("data")).drop("s1", "s2"))
 
     def marked(pairs: DataFrame) -> DataFrame:
-        x = sets.select(F.col("u").alias("a"), F.col("n").alias("na"), F.col("data").alias("ma"))
-        y = sets.select(F.col("u").alias("b"), F.col("n").alias("nb"), F.col("data").alias("mb"))
+        x = maps.select(F.col("u").alias("a"), F.col("n").alias("na"), F.col("data").alias("ma"))
+        y = maps.select(F.col("u").alias("b"), F.col("n").alias("nb"), F.col("data").alias("mb"))
         return pairs.join(x, "a").join(y, "b").select("a", "na", "ma", "b", "nb", "mb").mapInArrow(lean(passing(percent)), PAIRS)
 
-    leaders = held.groupBy("tok", "band").agg(F.min("u").alias("a"))
-    star = held.join(leaders, ["tok", "band"]).where("u <> a").select("a", F.col("u").alias("b")).distinct()
-    links = checkpointed(verified(marked(star), sets, rows, width, percent))
-    near = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    now = held.join(near.withColumnRenamed("node", "u"), "u", "left").select("tok", "band", "u", F.coalesce("root", "u").alias("comp"))
-    # blocks whose sets are in one component are done, and so are those of two sets that round 1 compared
-    open_blocks = now.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min("band").alias("b0"), F.max("band").alias("b1")).where("lo <> hi and not (m = 2 and b0 = b1)")
-    left = now.join(open_blocks.select("tok"), "tok")
-    sides = left.groupBy("tok", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t"))
-    own = left.select("tok", "band", "u", "comp", F.lit(False).alias("guest"))
-    guest = left.select("tok", (F.col("band") - 1).alias("band"), "u", "comp", F.lit(True).alias("guest"))
-    # a guest band meets the tiles of the band below; both are cut by the larger number of tiles
-    cut = sides.unionByName(sides.select("tok", (F.col("band") - 1).alias("band"), "t")).groupBy("tok", "band").agg(F.max("t").alias("t"))
-    tiled = own.unionByName(guest).join(cut, ["tok", "band"]).withColumn("k", F.pmod(F.xxhash64("u"), F.col("t")).cast("int"))
+    def pairs_of(a: str, b: str) -> list:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    def placed(near: DataFrame) -> DataFrame:
+        return checkpointed(held.join(near.withColumnRenamed("node", "u"), "u", "left").select("tok", "band", "salt", "salts", "u", F.coalesce("root", "u").alias("comp")))
+
+    now, compared, links, near = held.withColumn("comp", F.col("u")), None, None, None
+    for turn in range(STARS):
+        chosen = F.min(F.struct("u", "comp")) if turn == 0 else F.min_by(F.struct("u", "comp"), F.xxhash64("u", "tok", F.lit(turn)))
+        blocks_now = now.groupBy("tok", "band").agg(chosen.alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("salts").alias("salts")).where("lo <> hi")
+        leaders = blocks_now.select("tok", "band", F.col("l.u").alias("lead"), F.col("l.comp").alias("lead_comp"), every_salt("salts"))
+        star = now.join(leaders, ["tok", "band", "salt"]).where("comp <> lead_comp").select(*pairs_of("u", "lead")).distinct()
+        star = checkpointed(star if compared is None else star.join(compared, ["a", "b"], "left_anti"))
+        compared = star if compared is None else compared.unionByName(star)
+        found = verified(marked(star), sets, rows, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        links = found if near is None else near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)
+        near = components(links)
+        now = placed(near)
+    # a band of a block meets itself and, as a guest, the band below; where one component holds all, or both of the
+    # two sets that a star compared, nothing is left to do
+    per = now.groupBy("tok", "band").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("salts").alias("salts"))
+    sides = per.select("tok", "band", F.col("m").alias("own"), F.lit(0).cast("long").alias("guests"), "lo", "hi", "salts").unionByName(per.select("tok", (F.col("band") - 1).alias("band"), F.lit(0).cast("long").alias("own"), F.col("m").alias("guests"), "lo", "hi", "salts"))
+    todo = sides.groupBy("tok", "band").agg(F.sum("own").alias("own"), F.sum("guests").alias("guests"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("salts").alias("salts"))
+    todo = todo.where("own > 0 and lo <> hi and not (own = 2 and guests = 0)")
+    cut = todo.select("tok", "band", F.ceil(F.greatest("own", "guests") / TILE).cast("int").alias("t"), every_salt("salts"))
+    own = now.select("tok", "band", "salt", "u", "comp", F.lit(False).alias("guest"))
+    guest = now.select("tok", (F.col("band") - 1).alias("band"), "salt", "u", "comp", F.lit(True).alias("guest"))
+    tiled = own.unionByName(guest).join(cut, ["tok", "band", "salt"]).withColumn("k", F.pmod(F.xxhash64("u"), F.col("t")).cast("int"))
     tiled = tiled.select("*", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("other")).select("tok", "band", "u", "comp", "guest", F.col("k").alias("t"), F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"))
-    tiled = tiled.join(sets.select("u", "n", "data"), "u").repartition("tok", "band", "i", "j").sortWithinPartitions("tok", "band", "i", "j")
+    tiled = tiled.join(maps, "u").repartition("tok", "band", "i", "j").sortWithinPartitions("tok", "band", "i", "j")
     more = tiled.select("tok", "band", "i", "j", "u", "comp", "guest", "t", "n", "data").mapInArrow(lean(tiles(percent)), PAIRS)
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
-    final = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(more, sets, rows, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    more = more.select(*pairs_of("a", "b")).distinct().join(compared, ["a", "b"], "left_anti")
+    found = verified(more, sets, rows, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    final = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
     named = sets.select("s1", "s2", "u").join(final.withColumnRenamed("node", "u"), "u", "left").select("s1", "s2", F.coalesce("root", "u").alias("comp"))
-    return listed.select("d", "n", "s1", "s2").join(named, ["s1", "s2"], "left").select("d", "n", "comp")
+    return listed.select("d", "h", "n", "s1", "s2").join(named, ["s1", "s2"], "left").select("d", "h", "n", "comp")
 
 
 def digest(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -409,11 +444,11 @@ def digest(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
 def stage(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """One document of each group of linked ones, that with the smallest doc_id; documents without words all stay.
 
-    Rows with equal doc_id and text count as one document.
+    Of several with that id the one whose text has the least hash stays. Rows with equal doc_id and text count as one
+    document.
     """
     rows = link_components(docs, width, percent)
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("d").alias("_kept")).select("_kept")
-    alone = rows.where("comp is null").select(F.col("d").alias("_kept"))
-    kept = least.unionByName(alone).distinct()
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LOWEST)).alias("_kept"), F.xxhash64(docs["text"]).alias("_h"))
-    return whole.join(kept, "_kept").dropDuplicates(["_kept", "_h"]).select("_row.*")
+    kept = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct("d", "h")).alias("k")).select(F.col("k.d").alias("_kept"), F.col("k.h").alias("_h"))
+    alone = rows.where("comp is null").select(F.col("d").alias("_kept"), F.col("h").alias("_h"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LOWEST)).alias("_kept"), F.xxhash64(docs["text"].cast("string")).alias("_h"))
+    return whole.join(kept.unionByName(alone).distinct(), ["_kept", "_h"]).dropDuplicates(["_kept", "_h"]).select("_row.*")

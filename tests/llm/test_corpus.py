@@ -79,6 +79,32 @@ def test_op8_a_near_copy_of_many_exact_ones(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.digest(df).collect())) == linked(rows)
 
 
+def test_op8_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(3)
+    size, count = 60, 5000
+    words = np.tile(np.arange(size), (count, 1))
+    for row in words:
+        at = rng.choice(size, rng.integers(0, 7), replace=False)
+        row[at] = 1000 + rng.integers(0, 40, len(at))
+    texts = [" ".join(f"w{x}" for x in row) for row in words.tolist()]
+    known: dict = {}
+    sets = [{known.setdefault(tuple(r[i : i + 4]), len(known)) for i in range(size - 3)} for r in words.tolist()]
+    held = np.zeros((count, len(known)), np.float32)
+    for i, x in enumerate(sets):
+        held[i, list(x)] = 1
+    held_by_two = held[:, held.sum(0) > 1]
+    n = np.array([len(x) for x in sets])
+    root = np.arange(count)
+    for i in range(0, count, 500):
+        both = held_by_two[i : i + 500] @ held_by_two.T
+        a, b = np.nonzero(100 * both >= 85 * (n[i : i + 500, None] + n[None] - both))
+        u, v = components.forest(np.concatenate([a + i, np.arange(count)]), np.concatenate([b, root]))
+        root[u] = v
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.digest(df).collect()}
+    assert got == {i: (int(n[i]), int(root[i])) for i in range(count)}
+
+
 def test_op8_on_nothing(spark):
     assert jaccard.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")

@@ -26,6 +26,13 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in got) == [1, 7, 8, 9]
 
 
+def test_one_of_each_group_stays_under_repeated_and_null_ids(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (5, base), (5, base + " more"), (None, "other " + base), (None, "a text of its own here"), (5, "and one more text here"), (None, None)]
+    got = jaccard.stage(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, "a text of its own here"), (0, "other " + base), (5, "and one more text here")]
+
+
 def test_span_stage_keeps_columns(spark):
     rows = [(1, "A b c. D e f. G h i. J k l. M n o.", 9), (2, "X y z. A b c. D e f. G h i. J k l. M n o.", 9), (3, None, 9)]
     got = {r.doc_id: r for r in spans.stage(spark.createDataFrame(rows, "doc_id long, text string, _spans int")).collect()}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, lean, shared_folder, small_batches
-from .tokens import default_tokenizer, piece_tokenizer
+from .tokens import default_tokenizer, ended, piece_tokenizer
 
 MAGIC, BLOCK, HEAD = b"BITIDS01", 4096, struct.Struct("<8sII4Q")
 #: Ids that a task holds before it writes a file.
@@ -119,19 +119,19 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
 
         part, attempt, number = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
         t = piece_tokenizer(path)
-        bits, end = bits_for(max(t.tokenizer.get_vocab_size(), end_id + 1)), np.array([end_id], "<u4").tobytes()
-        held: list[tuple[int, bytes]] = []
+        bits = bits_for(max(t.tokenizer.get_vocab_size(), end_id + 1))
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal number, size
-            keys = np.array([k for k, _ in held], np.int64)
-            starts = np.zeros(len(held) + 1, np.int64)
-            np.cumsum([len(x) // 4 for _, x in held], out=starts[1:])
+            keys = np.concatenate([k for k, _, _ in held])
+            starts = np.zeros(len(keys) + 1, np.int64)
+            np.cumsum(np.concatenate([np.diff(e) for _, _, e in held]), out=starts[1:])
             uri = f"{folder}/{part:06d}-{number:04d}-{attempt}.ids"
             store, place = filesystem(uri)
             store.create_dir(place.rpartition("/")[0], recursive=True)
-            data = file_bytes(keys, starts, np.frombuffer(b"".join(x for _, x in held), "<u4"), bits)
+            data = file_bytes(keys, starts, np.concatenate([x for _, x, _ in held]), bits)
             held.clear()
             with store.open_output_stream(place) as out:
                 out.write(data)
@@ -140,13 +140,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
             return found
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
-                for key, ids in zip(some.column(0).to_pylist(), t.encode([x or "" for x in some.column(1).to_pylist()]), strict=True):
-                    held.append((key, ids + end))
-                    size += len(ids) // 4 + 1
-                    if size >= FILE_IDS:
-                        yield flush()
+            keys = batch.column(0).to_numpy()
+            for i, j, ids, ends in t.table.ids_of(batch.column(1)):
+                held.append((keys[i:j], *ended(ids, ends, end_id)))
+                size += len(held[-1][1])
+                if size >= FILE_IDS:
+                    yield flush()
         if held:
             yield flush()
 

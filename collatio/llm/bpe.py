@@ -12,15 +12,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import STORES, map_batches
-from .pieces import Bounded, PieceStore, matches
+from .common import STORES, lean, map_batches, small_batches
+from .pieces import Bounded, PieceTable, matches, ragged
 
 NEVER = 1 << 60
 
@@ -148,28 +150,48 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Written:
+    """What each id of a vocabulary is written as: flat bytes, and where each id's begin."""
+
+    def __init__(self, of: dict[int, bytes]):
+        size = np.zeros(max(of, default=0) + 1, np.int64)
+        for i, x in of.items():
+            size[i] = len(x)
+        self.count, self.first = size, np.cumsum(size) - size
+        self.flat = np.frombuffer(b"".join(of[i] for i in sorted(of)), np.uint8)
+
+    def rows(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[int]]:
+        """All ids written one after another, and where each row begins (and the end)."""
+        count = self.count[ids]
+        at = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(count, out=at[1:])
+        return ragged(self.flat, self.first[ids], count).tobytes(), at[ends].tolist()
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> tuple[ByteBPE, PieceStore]:
-    """One for a worker process. The store keeps of a piece: number of ids, ids in decimal after spaces, decoded bytes."""
+def encoder(path: str, pattern: str) -> tuple[ByteBPE, PieceTable, Written, Written]:
+    """One for a worker process: the encoder, its table of pieces, and ids in decimal (after a space) and as bytes."""
     bpe = ByteBPE(load_ranks(path), pattern)
+    words = Bounded(50_000)
 
-    words = Bounded(200_000)
-
-    def word(match: str) -> tuple[int, bytes, bytes]:
+    def word(match: str) -> list[int]:
         if (known := words.get(match)) is None:
-            ids = bpe.match(match.encode())
             words.room(1)
-            known = words[match] = (len(ids), "".join([f" {i}" for i in ids]).encode(), bpe.decode(ids))
+            known = words[match] = bpe.match(match.encode())
         return known
 
-    def one(text: str) -> tuple[int, bytes, bytes]:
-        found = [word(m) for m in matches(text, bpe.pattern)]
-        if len(found) == 1:
-            return found[0]
-        n, said, data = zip(*found, strict=True) if found else ((), (), ())
-        return sum(n), b"".join(said), b"".join(data)
+    def many(pieces: list[bytes]) -> tuple[list[int], list[int]]:
+        ids: list[int] = []
+        counts: list[int] = []
+        for piece in pieces:
+            # a space and letters is one match of the pattern
+            found = bpe.match(piece) if piece[:1] == b" " and piece[1:].decode().isalpha() else [i for m in matches(piece.decode(), bpe.pattern) for i in word(m)]
+            ids += found
+            counts.append(len(found))
+        return ids, counts
 
-    return bpe, PieceStore(lambda texts: [one(t) for t in texts], one)
+    # other patterns may join a letter and a mark, so only the public one is cut there
+    return bpe, PieceTable(many, pattern == default_pattern()), Written({i: f" {i}".encode() for i in bpe.bytes_of}), Written(bpe.bytes_of)
 
 
 STORES.append(encoder.cache_clear)
@@ -182,7 +204,7 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | N
     path, pattern = path or default_ranks(), pattern or default_pattern()
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe, _ = encoder(path, pattern)
+        bpe = encoder(path, pattern)[0]
         ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -194,7 +216,7 @@ def decode(df: DataFrame, ids: str = "ids", key: str = "doc_id", path: str | Non
     path, pattern = path or default_ranks(), pattern or default_pattern()
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe, _ = encoder(path, pattern)
+        bpe = encoder(path, pattern)[0]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or []) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
 
     return map_batches(df.select(df[key].cast("long").alias("doc_id"), df[ids].cast("array<int>").alias("ids")), rows, "doc_id long, data binary", stores=True)
@@ -203,22 +225,14 @@ def decode(df: DataFrame, ids: str = "ids", key: str = "doc_id", path: str | Non
 def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Number and hash of every text's ids, and the hash of their decoding."""
     path, pattern = path or default_ranks(), pattern or default_pattern()
-    step = 256
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, store = encoder(path, pattern)
-        counts, ids, back = [], [], []
-        for a in range(0, batch.num_rows, step):
-            texts = [t or "" for t in batch.column(1)[a : a + step].to_pylist()]
-            for values, fed in store.values(texts):
-                n, said, data = map(list, zip(*values, strict=True)) if values else ([], [], [])
-                if fed:  # the line feed that begins the first piece isn't in the text
-                    n[0] -= 1
-                    said[0] = said[0][said[0].index(b" ", 1) :]
-                    data[0] = data[0][1:]
-                counts.append(sum(n))
-                ids.append(hashlib.sha256(b"".join(said)[1:]).hexdigest())
-                back.append(hashlib.sha256(b"".join(data)).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), rows, DIGEST, stores=True)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, table, decimal, data = encoder(path, pattern)
+        for batch in batches:
+            keys = batch.column(0)
+            for i, j, ids, ends in table.ids_of(batch.column(1)):
+                hashes = [[hashlib.sha256(whole[a + skip : b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)] for skip, (whole, at) in ((1, decimal.rows(ids, ends)), (0, data.rows(ids, ends)))]
+                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array(np.diff(ends)), *map(pa.array, hashes)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    small_batches(docs.sparkSession)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lean(rows, stores=True), DIGEST)

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches
-from .tokens import default_tokenizer, piece_tokenizer
+from .common import checkpointed, lean, small_batches
+from .tokens import default_tokenizer, ended, piece_tokenizer
 
 CAPACITY, SHARD, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 2048, 4096, 2, 2, 6, 3
 #: Bins filled to this share are kept when a shard is done; the items of others go to the pool.
@@ -30,26 +30,35 @@ KEPT = 0.98
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def cut_pieces(keys: pa.Array, ids: np.ndarray, ends: np.ndarray, capacity: int) -> pa.RecordBatch:
+    """Documents as pieces of up to ``capacity`` ids, of which only the first may be shorter."""
+    size = np.diff(ends)
+    count = -(-size // capacity)
+    of = np.repeat(np.arange(len(size)), count)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    head = (size - 1) % capacity + 1
+    length = np.where(number == 0, head[of], capacity)
+    start = np.where(number == 0, 0, head[of] + (number - 1) * capacity)
+    at = ends[of] + start
+    crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], [x.split()[0] for x in PIECES.split(", ")])
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
     """Whole texts as token pieces; only longer documents are cut, and then the first piece may be shorter."""
     path = tokenizer or default_tokenizer()
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        t, end = piece_tokenizer(path), np.array([end_id], "<u4").tobytes()
-        out: list[tuple[int, int, int, int, int]] = []
-        for a in range(0, batch.num_rows, 256):
-            some = batch.slice(a, 256)
-            for key, ids in zip(some.column(0).to_pylist(), t.encode([x or "" for x in some.column(1).to_pylist()]), strict=True):
-                ids = memoryview(ids + end)
-                n = len(ids) // 4
-                at, number, length = 0, 0, (n - 1) % capacity + 1
-                while at < n:
-                    out.append((key, number, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)])))
-                    at, number, length = at + length, number + 1, capacity
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
-
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), rows, PIECES, stores=True)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = piece_tokenizer(path).table
+        for batch in batches:
+            keys = batch.column(0)
+            for i, j, ids, ends in table.ids_of(batch.column(1)):
+                ids, ends = ended(ids, ends, end_id)
+                yield cut_pieces(keys.slice(i, j - i), ids, ends, capacity)
+
+    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    small_batches(docs.sparkSession)
+    return source.mapInArrow(lean(rows, stores=True), PIECES)
 
 
 class Island:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import struct
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 from .common import STORES
-from .pieces import Bounded, PieceStore, matches
+from .pieces import Bounded, PieceTable, matches
 
 
 def default_tokenizer() -> str:
@@ -27,7 +27,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class PieceTokenizer:
-    """encode(texts) gives the little-endian uint32 ids of each text, without special tokens.
+    """``table.ids_of`` gives the ids of a column of texts, without special tokens; ``encode`` those of a list.
 
     Words go straight to the library's BPE model, each once, where its pre-tokenizer is the byte-level one that
     splits by the public pattern (a probe tells); pieces of other tokenizers go through the whole library.
@@ -44,33 +44,56 @@ class PieceTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.letters = str.maketrans(byte_letters())
-        self.words = Bounded(250_000)
-        self.direct = False
-        if len(self.raw("\n")) != 1:
-            raise ValueError("a line feed must be one token of this vocabulary")
-        self.direct = np.frombuffer(self.by_words(self.PROBE), "<u4").tolist() == self.raw(self.PROBE)
-        self.store = PieceStore(lambda texts: [self.one(t) for t in texts], lambda t: np.array(self.raw(t), "<u4").tobytes())
+        self.words = Bounded(50_000)
+        self.direct = self.by_words(self.PROBE) == self.raw(self.PROBE)
+        self.table = PieceTable(self.many, self.direct)
 
     def raw(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def by_words(self, text: str) -> bytes:
-        out = []
+    def by_words(self, text: str) -> list[int]:
+        out: list[int] = []
         for word in matches(text, self.pattern):
             ids = self.words.get(word)
             if ids is None:
-                found = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-                ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+                ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
                 self.words.room(1)
                 self.words[word] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def one(self, text: str) -> bytes:
-        return self.by_words(text) if self.direct else np.array(self.raw(text), "<u4").tobytes()
+            out += ids
+        return out
+
+    def many(self, pieces: list[bytes]) -> tuple[list[int], list[int]]:
+        """All ids of some pieces, and how many each has."""
+        model, letters, one = self.tokenizer.model.tokenize, self.letters, self.by_words if self.direct else self.raw
+        ids: list[int] = []
+        counts: list[int] = []
+        for piece in pieces:
+            # a space and letters is one match of the pattern
+            if self.direct and piece[:1] == b" " and piece[1:].decode().isalpha():
+                found = [t.id for t in model(piece.decode("latin-1").translate(letters))]
+            else:
+                found = one(piece.decode())
+            ids += found
+            counts.append(len(found))
+        return ids, counts
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(v)[4:] if fed else b"".join(v) for v, fed in self.store.values(texts)]
+        """The ids of each text as little-endian uint32."""
+        out = []
+        for _, _, ids, ends in self.table.ids_of(pa.array(texts, pa.string())):
+            out += [ids[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return out
+
+
+def ended(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows with ``end_id`` after each row's, and where each row's begin (and the end)."""
+    rows = len(ends) - 1
+    out = np.full(len(ids) + rows, end_id, "<u4")
+    more = ends + np.arange(rows + 1)
+    own = np.ones(len(out), bool)
+    own[more[1:] - 1] = False
+    out[own] = ids
+    return out, more
 
 
 @lru_cache(maxsize=2)

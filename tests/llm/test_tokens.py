@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -26,10 +27,12 @@ def reference():
 def test_bpe_equals_the_library(text):
     ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(bpe.default_ranks()), special_tokens={}) if not hasattr(test_bpe_equals_the_library, "ref") else test_bpe_equals_the_library.ref
     test_bpe_equals_the_library.ref = ref
-    own, store = bpe.encoder(bpe.default_ranks(), bpe.default_pattern())
+    own, table, decimal, _ = bpe.encoder(bpe.default_ranks(), bpe.default_pattern())
     want = ref.encode_ordinary(text)
     assert own.encode(text) == want
     assert own.decode(want) == text.encode()
+    [(_, _, ids, ends)] = table.ids_of(pa.array([text, "", text]))
+    assert ids.tolist() == want + want and decimal.rows(ids, ends)[0].decode().split() == [str(i) for i in want + want]
     t = tokens.piece_tokenizer(tokens.default_tokenizer())
     assert np.frombuffer(t.encode([text])[0], "<u4").tolist() == t.raw(text) == want
 

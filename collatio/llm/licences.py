@@ -1,14 +1,17 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-Texts are cut at ends of sentences and lines; what lies between is lower-cased and reduced to its letters and digits,
-and looked up in a table of known licence sentences. One that is wrapped over lines or holds a mark at which texts are
-cut ("WARRANTY; without even", "v. 2.0") is put together from its parts first; places stay those of the parts. Between
-the sentences of a rule, numbers of a list and lines of copyright and year don't count. A rule is an ordered list of sentence identifiers; it matches where a document's
-sentences have these identifiers one after another. Matches that lie inside a longer match are dropped.
+A text is lower-cased and reduced to its words (runs of letters and digits; ``https`` counts as ``http``); before words
+that begin a line or follow ``.``, ``!``, ``?``, ``;`` or ``:`` and white space there is a border. Numbers and letters of
+lists that stand between two borders are left out, and so are statements whose copyright it is. A known licence sentence
+stands where its words stand one after another from border to border, whatever borders lie inside: so wrapped lines,
+comment marks, "WARRANTY; without even" and "v. 2.0" don't matter. A number or letter of a list may stand between the
+border and the sentence. Known sentences inside a longer one don't count.
 
-Sentences are looked up by a broadcast join with the table of known sentences, whose size is that of this file.
-Only sentences that are known, few of all, are shuffled: by document, rule and place where the rule would begin,
-so one document with very many licence sentences still spreads over tasks.
+Identifiers of sentences that directly follow each other are matched against rules, which are ordered lists of
+identifiers. Matches that lie inside a longer match are dropped.
+
+Texts without one of a few words, of which each known sentence has one, are passed over; in the others each border is
+looked up in the table of known sentences, a constant. Only found sentences, few of all, are shuffled.
 
 Defined cases: null and empty texts and documents without a known sentence give no row; repeated rows give
 repeated matches only once; sentences may be of any length; other columns are ignored.
@@ -16,10 +19,11 @@ repeated matches only once; sentences may be of any length; other columns are ig
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Sentences of public licences and their usual notices, normalised, by identifier.
@@ -57,6 +61,25 @@ SENTENCES = {
     "cc-by-nc-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
     "mpl-subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "mpl-if-a": "if a copy of the mpl was not distributed with this file you can obtain one at http www mozilla org mpl 2 0",
+    "lgpl3-redistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21-redistribute": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl21-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-see": "see the gnu lesser general public license for more details",
+    "lgpl-copy": "you should have received a copy of the gnu lesser general public license along with this program",
+    "lgpl21-copy": "you should have received a copy of the gnu lesser general public license along with this library",
+    "agpl3-redistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-see": "see the gnu affero general public license for more details",
+    "agpl-copy": "you should have received a copy of the gnu affero general public license along with this program",
+    "isc-title": "isc license",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "isc-liability": "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-liability": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "epl-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0",
+    "unlicense-public": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
     "all-rights": "all rights reserved",
 }
 # Rules, as (rule, licence, sentence identifiers in order).
@@ -84,6 +107,21 @@ RULES = [
     ("cc-by-nc-work", "CC-BY-NC-4.0", ["cc-by-nc-work"]),
     ("cc-by-nd-reference", "CC-BY-ND-4.0", ["cc-by-nd-ref"]),
     ("mpl-2-header", "MPL-2.0", ["mpl-subject", "mpl-copy"]),
+    ("mpl-2-header-www", "MPL-2.0", ["mpl-subject", "mpl-if-a"]),
+    ("lgpl-3-notice", "LGPL-3.0-or-later", ["lgpl3-redistribute", "gpl-hope", "lgpl-see"]),
+    ("lgpl-3-notice-copy", "LGPL-3.0-or-later", ["lgpl3-redistribute", "gpl-hope", "lgpl-see", "lgpl-copy"]),
+    ("lgpl-2.1-notice", "LGPL-2.1-or-later", ["lgpl21-redistribute", "lgpl21-hope", "lgpl-see"]),
+    ("lgpl-2.1-notice-copy", "LGPL-2.1-or-later", ["lgpl21-redistribute", "lgpl21-hope", "lgpl-see", "lgpl21-copy"]),
+    ("agpl-3-notice", "AGPL-3.0-or-later", ["agpl3-redistribute", "gpl-hope", "agpl-see"]),
+    ("agpl-3-notice-copy", "AGPL-3.0-or-later", ["agpl3-redistribute", "gpl-hope", "agpl-see", "agpl-copy"]),
+    ("isc-text", "ISC", ["isc-grant", "isc-as-is", "isc-liability"]),
+    ("isc-text-titled", "ISC", ["isc-title", "isc-grant", "isc-as-is", "isc-liability"]),
+    ("bsd-2-text-whole", "BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability"]),
+    ("bsd-3-text-whole", "BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is", "bsd-liability"]),
+    ("bsd-2-text-reserved", "BSD-2-Clause", ["all-rights", "bsd-redistribution", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability"]),
+    ("bsd-3-text-reserved", "BSD-3-Clause", ["all-rights", "bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is", "bsd-liability"]),
+    ("epl-2-notice", "EPL-2.0", ["epl-terms"]),
+    ("unlicense-text", "Unlicense", ["unlicense-public", "unlicense-anyone"]),
     ("all-rights-reserved", "proprietary", ["all-rights"]),
 ]
 
@@ -92,62 +130,78 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def known_sentences(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in SENTENCES.items()) + " AS t(sentence_id, norm)")
-
-
 def rule_steps(spark: SparkSession) -> DataFrame:
     rows = [(r, licence, len(ids), step, s) for r, licence, ids in RULES for step, s in enumerate(ids)]
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({_quoted(r)}, {_quoted(lic)}, {n}, {k}, {_quoted(s)})" for r, lic, n, k, s in rows) + " AS t(rule_id, license_id, steps, step, sentence_id)")
 
 
-def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+#: Each known sentence has one of these words.
+TOLD_BY = ["licen", "warrant", "redistribut", "permission", "reserved", "liable", "mpl", "endorse", "public domain", "distribute"]
+#: A number or letter of a list.
+LISTED = "([0-9]{1,2}|[a-z]|[ivx]{1,4})"
+#: Replacements, in order, that lead from a lower-cased text to its words, with ``\x01`` where a border stands before a word.
+TO_WORDS = [
+    (r"[.!?;:]\s|\n", "\x01"),
+    ("[^a-z0-9\x01]+", " "),
+    ("( ?\x01)+ ?", " \x01"),
+    (rf"(\x01{LISTED} )+\x01", "\x01"),
+    (r"(\x01copyright( c)? [0-9]{4}\b[^\x01]*)+", ""),
+    (r"\bhttps\b", "http"),
+]
 
 
-def merging(sentence: str) -> str:
-    """A pattern for lines ``place, tab, words`` that one after another are this sentence; a number of a list may lead."""
-    return r"\n(\d+)\t(?:\d{1,2} )?" + r"(?: |\n\d+\t)".join(w if w != "http" else "https?" for w in sentence.split()) + r"(?=\n)"
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-#: Lines that may stand between the sentences of a rule: numbers and letters of lists, and whose copyright it is.
-BETWEEN = r"^\d+\t([0-9]{1,2}|[a-z]|[ivx]{1,4}|copyright( c)? [0-9]{4}\b.*)$"
+def words_of(text: Column) -> Column:
+    """The words of a lower-cased text, those after a border with ``\x01`` before them; the first has a border too."""
+    out = F.concat(F.lit("\x01"), text)
+    for pattern, by in TO_WORDS:
+        out = F.regexp_replace(out, pattern, by)
+    return F.split(F.trim(out), " ")
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, seq, pos, last, norm) of the documents in which a known sentence stands.
+def hits_of(words: Column) -> Column:
+    """Known sentences in words: identifier, first word, the word where what belongs to it begins, the word after it."""
+    known = F.array(*[F.struct(F.lit(k).alias("id"), F.split(F.lit(v), " ").alias("w"), F.lit(len(v.split())).alias("n")) for k, v in SENTENCES.items()])
+    begins = F.array(*map(F.lit, sorted({" ".join(v.split()[:2]) for v in SENTENCES.values()})))
+    bordered = lambda i: F.startswith(F.get(words, i), F.lit("\x01"))
+    listed = lambda i: F.get(words, i).rlike(f"^\x01{LISTED}$")
 
-    pos and last: the first and last part of the text, cut at ends of sentences and lines, parts without a letter or
-    digit not counted. Parts that together are a known sentence are put together. seq counts what then is there.
-    """
+    def at_start(plain: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(plain) - 1), lambda i: (bordered(i) | F.coalesce(listed(i - 1), F.lit(False))) & F.array_contains(begins, F.concat_ws(" ", F.get(plain, i), F.get(plain, i + 1))))
+        meets = lambda i, k: (F.slice(plain, i + 1, k["n"]) == k["w"]) & ((i + k["n"] == F.size(plain)) | bordered(i + k["n"]))
+        found = lambda i: F.transform(F.filter(known, lambda k: meets(i, k)), lambda k: F.struct(k["id"].alias("sentence_id"), i.alias("at"), F.when(bordered(i), i).otherwise(i - 1).alias("begin"), (i + k["n"]).alias("end")))
+        return F.flatten(F.transform(places, found))
+
+    return let(F.transform(words, lambda w: F.translate(w, "\x01", "")), at_start)
+
+
+def sentences(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, sentence_id, at, begin, end, seq) of known sentences; seq of two that follow each other differs by 1."""
     text = docs["text"].cast("string")
-    flat = F.concat(F.lit(" "), F.replace(normalised(text), F.lit(" https "), F.lit(" http ")), F.lit(" "))
-    cut = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), flat.alias("flat")).where(F.col("text").isNotNull())
-    cut = cut.where(reduce(or_, [F.col("flat").contains(f" {s} ") for s in SENTENCES.values()]))
-    lines = F.split(F.regexp_replace(F.col("text"), r"([.!?;:])\s+", "$1\n"), "\n")
-    parts = F.filter(lines, lambda s: s.rlike("[A-Za-z0-9]"))
-    placed = F.transform(parts, lambda s, i: F.concat(i.cast("string"), F.lit("\t"), normalised(s)))
-    whole = F.concat(F.lit("\n"), F.array_join(placed, "\n"), F.lit("\n"))
-    # longer sentences first, as some begin with another
-    for s in sorted(SENTENCES.values(), key=len, reverse=True):
-        whole = F.regexp_replace(whole, merging(s), "\n$1\t" + s)
-    cut = cut.select("doc_id", F.xxhash64("text").alias("version"), F.size(parts).alias("parts"), F.split(F.substring(whole, 2, 1 << 30), "\n").alias("lines"))
-    # the end of a line's place is the next one's beginning, so it is told before lines between are left out
-    place = lambda x: F.substring_index(x, "\t", 1).try_cast("int")
-    told = F.transform("lines", lambda x, i: F.struct(x.alias("line"), (F.coalesce(place(F.get("lines", i + 1)), F.col("parts")) - 1).alias("last")))
-    told = F.filter(told, lambda x: (x["line"] != "") & ~x["line"].rlike(BETWEEN))
-    return cut.select("doc_id", "version", F.posexplode(told).alias("seq", "x")).select("doc_id", "version", "seq", place(F.col("x.line")).alias("pos"), "x.last", F.substring_index("x.line", "\t", -1).alias("norm"))
+    told = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).where(F.exists(F.array(F.lower(text)), lambda t: reduce(or_, [F.contains(t, F.lit(w)) for w in TOLD_BY])))
+    hits = told.select("doc_id", F.xxhash64("text").alias("version"), F.explode(let(words_of(F.lower("text")), hits_of)).alias("x")).select("doc_id", "version", "x.*").distinct()
+    in_text = Window.partitionBy("doc_id", "version")
+    before = in_text.orderBy("at", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    hits = hits.withColumn("covered", F.max("end").over(before)).where("covered is null or end > covered").drop("covered")
+    last = F.lag("end").over(in_text.orderBy("at"))
+    return hits.withColumn("gap", F.when(last == F.col("begin"), 1).otherwise(2)).withColumn("seq", F.sum("gap").over(in_text.orderBy("at"))).drop("gap")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, license_id, rule_id, first_sentence, last_sentence) of every match that no longer one holds."""
+    """(doc_id, license_id, rule_id, first_word, last_word) of every match that no longer one holds.
+
+    Words are counted from 0, without those that are left out.
+    """
     spark = docs.sparkSession
-    found = sentences(docs).join(F.broadcast(known_sentences(spark)), "norm").drop("norm")
-    # every known sentence, as each step it could be of each rule; both tables are constants of this module
-    steps = found.join(F.broadcast(rule_steps(spark)), "sentence_id").withColumn("first", F.col("seq") - F.col("step"))
+    # every known sentence, as each step it could be of each rule; the table is a constant of this module
+    steps = sentences(docs).join(F.broadcast(rule_steps(spark)), "sentence_id").withColumn("first", F.col("seq") - F.col("step"))
     whole = (
         steps.groupBy("doc_id", "version", "rule_id", "license_id", "steps", "first")
-        .agg(F.countDistinct("step").alias("got"), F.min("pos").alias("first_sentence"), F.max("last").alias("last_sentence"))
+        .agg(F.countDistinct("step").alias("got"), F.min("at").alias("first_word"), (F.max("end") - 1).alias("last_word"))
         .where("got = steps")
         .drop("got")
     )
@@ -158,10 +212,18 @@ def scan(docs: DataFrame) -> DataFrame:
     held = (
         whole.select("*", over_all.alias("at"))
         .join(over, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("version") == F.col("_v")) & (F.col("at") == F.col("_at")))
-        .groupBy("doc_id", "version", "rule_id", "license_id", "first", "first_sentence", "last_sentence", "steps")
+        .groupBy("doc_id", "version", "rule_id", "license_id", "first", "first_word", "last_word", "steps")
         .agg(F.min("most").alias("least"))
     )
-    return held.where("least <= steps").select("doc_id", "license_id", "rule_id", "first_sentence", "last_sentence").distinct()
+    return held.where("least <= steps").select("doc_id", "license_id", "rule_id", "first_word", "last_word").distinct()
+
+
+def _sql_words() -> str:
+    out = "chr(1) || lower(text)"
+    for pattern, by in TO_WORDS:
+        mark = lambda x: "'" + x.replace("\x01", "' || chr(1) || '") + "'"
+        out = f"regexp_replace({out}, {mark(pattern)}, {mark(by)}, 'g')"
+    return f"string_split(trim({out}), ' ')"
 
 
 ORACLE_SQL = (
@@ -169,18 +231,28 @@ ORACLE_SQL = (
     + ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in SENTENCES.items())
     + "), steps(rule_id, license_id, steps, step, sentence_id) AS (VALUES "
     + ", ".join(f"({_quoted(r)}, {_quoted(lic)}, {len(ids)}, {k}, {_quoted(s)})" for r, lic, ids in RULES for k, s in enumerate(ids))
-    + r"""), cut AS (
-  SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?;:])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: regexp_matches(s, '[A-Za-z0-9]')) AS s
-  FROM documents WHERE text IS NOT NULL),
-told AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM cut),
-found AS (SELECT doc_id, pos, sentence_id FROM told JOIN known ON norm = trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g'))),
+    + f"""), cut AS MATERIALIZED (SELECT DISTINCT doc_id, text, {_sql_words()} AS w FROM documents WHERE text IS NOT NULL),
+word AS (SELECT doc_id, text, w, unnest(w) AS marked, generate_subscripts(w, 1) - 1 AS pos FROM cut),
+start AS (
+  SELECT doc_id, text, w, pos, replace(marked, chr(1), '') AS head, starts_with(marked, chr(1)) AS own FROM word
+  WHERE starts_with(marked, chr(1)) OR (pos > 0 AND regexp_full_match(w[pos], chr(1) || '{LISTED}'))),
+found AS (
+  SELECT doc_id, text, w, pos, CASE WHEN own THEN pos ELSE pos - 1 END AS begun, sentence_id, pos + len(string_split(norm, ' ')) AS fin
+  FROM start JOIN known ON split_part(norm, ' ', 1) = head
+  AND replace(array_to_string(w[pos + 1 : pos + len(string_split(norm, ' '))], ' '), chr(1), '') = norm),
+hits AS (
+  SELECT doc_id, text, pos, begun, sentence_id, fin FROM found f WHERE (fin = len(w) OR starts_with(w[fin + 1], chr(1)))),
+alone AS (
+  SELECT *, lag(fin) OVER (PARTITION BY doc_id, text ORDER BY pos) AS was FROM (
+    SELECT *, max(fin) OVER (PARTITION BY doc_id, text ORDER BY pos, fin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM hits)
+  WHERE covered IS NULL OR fin > covered),
+told AS (SELECT *, sum(CASE WHEN was = begun THEN 1 ELSE 2 END) OVER (PARTITION BY doc_id, text ORDER BY pos) AS seq FROM alone),
 whole AS (
-  SELECT doc_id, rule_id, license_id, steps.steps AS steps, pos - step AS first_sentence
-  FROM found JOIN steps USING (sentence_id)
-  GROUP BY ALL HAVING count(DISTINCT step) = steps.steps),
-whole2 AS (SELECT *, first_sentence + steps - 1 AS last_sentence FROM whole)
-SELECT doc_id, license_id, rule_id, CAST(first_sentence AS INTEGER) AS first_sentence, CAST(last_sentence AS INTEGER) AS last_sentence
-FROM whole2 w WHERE EXISTS (
-  SELECT 1 FROM range(w.first_sentence, w.last_sentence + 1) r(p)
-  WHERE NOT EXISTS (SELECT 1 FROM whole2 o WHERE o.doc_id = w.doc_id AND o.steps > w.steps AND r.p BETWEEN o.first_sentence AND o.last_sentence))"""
+  SELECT doc_id, text, rule_id, license_id, steps.steps AS steps, seq - step AS first, min(pos) AS first_word, max(fin) - 1 AS last_word
+  FROM told JOIN steps USING (sentence_id)
+  GROUP BY doc_id, text, rule_id, license_id, steps.steps, seq - step HAVING count(DISTINCT step) = steps.steps)
+SELECT DISTINCT doc_id, license_id, rule_id, CAST(first_word AS INTEGER) AS first_word, CAST(last_word AS INTEGER) AS last_word
+FROM whole w WHERE EXISTS (
+  SELECT 1 FROM range(CAST(w.first AS BIGINT), CAST(w.first + w.steps AS BIGINT)) r(p)
+  WHERE NOT EXISTS (SELECT 1 FROM whole o WHERE o.doc_id IS NOT DISTINCT FROM w.doc_id AND o.text = w.text AND o.steps > w.steps AND r.p >= o.first AND r.p < o.first + o.steps))"""
 )

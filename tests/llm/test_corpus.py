@@ -250,7 +250,7 @@ def test_op10(spark):
     s = licences.SENTENCES
     said = lambda *ids: ". ".join(s[i].capitalize() for i in ids) + "."
     rows = [(1, "Intro here.\n" + said("mit-title-2", "mit-grant", "mit-notice", "mit-as-is", "mit-liability")), (2, said("mit-grant", "mit-as-is")), (3, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License. x"), (4, None), (5, ""), (None, "All rights reserved."), (3, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License. x")]
-    got = sorted((str(r.doc_id), r.license_id, r.rule_id, r.first_sentence, r.last_sentence) for r in licences.scan(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, pos int")).collect())
+    got = sorted((str(r.doc_id), r.license_id, r.rule_id, r.first_word, r.last_word) for r in licences.scan(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, pos int")).collect())
     assert got == [("1", "MIT", "mit-text-titled", 1, 5), ("3", "CC-BY-NC-4.0", "cc-by-nc-reference", 0, 0), ("3", "MIT", "mit-reference", 1, 1), ("None", "proprietary", "all-rights-reserved", 0, 0)]
 
 
@@ -331,7 +331,7 @@ def test_op10_licences_as_published(spark):
     rows += [(100 + k, text.replace("\n\n", "\n").replace("\n", " ")) for k, text in enumerate(PUBLISHED.values()) if "mit" not in text.lower() and "*" not in text]
     got = collections.defaultdict(list)
     for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        got[r.doc_id].append((r.rule_id, r.first_sentence, r.last_sentence))
+        got[r.doc_id].append((r.rule_id, r.first_word, r.last_word))
     names = list(PUBLISHED)
     assert {d: [x[0] for x in found] for d, found in got.items()} == {d: ["mpl-2-header" if d == 50 else names[d % 100]] for d, _ in rows}
     assert got[50] == [("mpl-2-header", 1, 5)] and got[0] == [("mit-text-titled", 0, 17)]

@@ -139,15 +139,10 @@ def rule_steps(spark: SparkSession) -> DataFrame:
 TOLD_BY = ["licen", "warrant", "redistribut", "permission", "reserved", "liable", "mpl", "endorse", "public domain", "distribute"]
 #: A number or letter of a list.
 LISTED = "([0-9]{1,2}|[a-z]|[ivx]{1,4})"
-#: Replacements, in order, that lead from a lower-cased text to its words, with ``\x01`` where a border stands before a word.
-TO_WORDS = [
-    (r"[.!?;:]\s|\n", "\x01"),
-    ("[^a-z0-9\x01]+", " "),
-    ("( ?\x01)+ ?", " \x01"),
-    (rf"(\x01{LISTED} )+\x01", "\x01"),
-    (r"(\x01copyright( c)? [0-9]{4}\b[^\x01]*)+", ""),
-    (r"\bhttps\b", "http"),
-]
+#: What stands between two borders and is left out: a number or letter of a list, and whose copyright it is.
+LEFT_OUT = [f"^{LISTED}$", r"^copyright( c)? [0-9]{4}\b"]
+#: Replacements, in order, that leave words, blanks and ``\x01`` for borders of a lower-cased text.
+TO_WORDS = [(r"[.!?;:]\s|\n", "\x01"), ("[^a-z0-9\x01]+", " "), (r"\bhttps\b", "http")]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -157,10 +152,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a lower-cased text, those after a border with ``\x01`` before them; the first has a border too."""
-    out = F.concat(F.lit("\x01"), text)
+    out = text
     for pattern, by in TO_WORDS:
         out = F.regexp_replace(out, pattern, by)
-    return F.split(F.trim(out), " ")
+    parts = F.transform(F.split(out, "\x01"), lambda p: F.trim(p))
+    parts = F.filter(parts, lambda p: (p != "") & ~reduce(or_, [p.rlike(x) for x in LEFT_OUT]))
+    return F.split(F.array_join(F.transform(parts, lambda p: F.concat(F.lit("\x01"), p)), " "), " ")
 
 
 def hits_of(words: Column) -> Column:
@@ -219,11 +216,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _sql_words() -> str:
-    out = "chr(1) || lower(text)"
+    out = "lower(text)"
     for pattern, by in TO_WORDS:
         mark = lambda x: "'" + x.replace("\x01", "' || chr(1) || '") + "'"
         out = f"regexp_replace({out}, {mark(pattern)}, {mark(by)}, 'g')"
-    return f"string_split(trim({out}), ' ')"
+    left_out = " OR ".join(f"regexp_matches(p, '{x}')" for x in LEFT_OUT)
+    parts = f"list_filter(list_transform(string_split({out}, chr(1)), lambda p: trim(p)), lambda p: p <> '' AND NOT ({left_out}))"
+    return f"string_split(array_to_string(list_transform({parts}, lambda p: chr(1) || p), ' '), ' ')"
 
 
 ORACLE_SQL = (

@@ -251,7 +251,22 @@ def test_op10(spark):
     said = lambda *ids: ". ".join(s[i].capitalize() for i in ids) + "."
     rows = [(1, "Intro here.\n" + said("mit-title-2", "mit-grant", "mit-notice", "mit-as-is", "mit-liability")), (2, said("mit-grant", "mit-as-is")), (3, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License. x"), (4, None), (5, ""), (None, "All rights reserved."), (3, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License. x")]
     got = sorted((str(r.doc_id), r.license_id, r.rule_id, r.first_word, r.last_word) for r in licences.scan(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, pos int")).collect())
-    assert got == [("1", "MIT", "mit-text-titled", 1, 5), ("3", "CC-BY-NC-4.0", "cc-by-nc-reference", 0, 0), ("3", "MIT", "mit-reference", 1, 1), ("None", "proprietary", "all-rights-reserved", 0, 0)]
+    size = sum(len(s[k].split()) for k in ("mit-title-2", "mit-grant", "mit-notice", "mit-as-is", "mit-liability"))
+    assert got == [("1", "MIT", "mit-text-titled", 2, 1 + size), ("3", "CC-BY-NC-4.0", "cc-by-nc-reference", 0, 6), ("3", "MIT", "mit-reference", 7, 11), ("None", "proprietary", "all-rights-reserved", 0, 2)]
+
+
+def test_op10_every_known_sentence_is_told_and_every_rule_can_match(spark):
+    assert all(any(w in text for w in licences.TOLD_BY) for text in licences.SENTENCES.values())
+    rows = [(k, ". ".join(licences.SENTENCES[x] for x in ids) + ".") for k, (_, _, ids) in enumerate(licences.RULES)]
+    got = {(r.doc_id, r.rule_id) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(k, name) for k, (name, _, _) in enumerate(licences.RULES)}
+
+
+def test_op10_on_nothing_and_on_very_long_texts(spark):
+    assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    rows = [(1, "* " * 200_000 + "\nAll rights reserved.\n" + "\n \n" * 100_000), (2, "word " * 300_000 + "all rights reserved now"), (3, "All rights reserved. " * 20_000), (4, "not all rights reserved")]
+    got = sorted((r.doc_id, r.first_word, r.last_word) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0, 2), *((3, 3 * k, 3 * k + 2) for k in range(20_000))]
 
 
 PUBLISHED = {
@@ -323,18 +338,79 @@ modification, are permitted provided that the following conditions are met:
     "mpl-2-header": """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "lgpl-2.1-notice-copy": """    This library is free software; you can redistribute it and/or
+    modify it under the terms of the GNU Lesser General Public
+    License as published by the Free Software Foundation; either
+    version 2.1 of the License, or (at your option) any later version.
+
+    This library is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+    Lesser General Public License for more details.
+
+    You should have received a copy of the GNU Lesser General Public
+    License along with this library; if not, write to the Free Software
+    Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA""",
+    "agpl-3-notice": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU Affero General Public License for more details.""",
+    "isc-text-titled": """ISC License
+
+Copyright (c) 2019, Some One <some@one.example>
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-2-text-reserved": """Copyright (c) 2018, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
 
 
 def test_op10_licences_as_published(spark):
     rows = [(k, text) for k, text in enumerate(PUBLISHED.values())] + [(50, "One more.\n" + PUBLISHED["mpl-2-header"] + "\nAnd text.")]
-    rows += [(100 + k, text.replace("\n\n", "\n").replace("\n", " ")) for k, text in enumerate(PUBLISHED.values()) if "mit" not in text.lower() and "*" not in text]
+    rows += [(100 + k, text.replace("\n\n", "\n").replace("\n", " ")) for k, text in enumerate(PUBLISHED.values()) if "(c) 20" not in text and "*" not in text]
     got = collections.defaultdict(list)
     for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got[r.doc_id].append((r.rule_id, r.first_word, r.last_word))
     names = list(PUBLISHED)
     assert {d: [x[0] for x in found] for d, found in got.items()} == {d: ["mpl-2-header" if d == 50 else names[d % 100]] for d, _ in rows}
-    assert got[50] == [("mpl-2-header", 1, 5)] and got[0] == [("mit-text-titled", 0, 17)]
+    size = sum(len(licences.SENTENCES[k].split()) for k in ("mpl-subject", "mpl-copy"))
+    assert got[50] == [("mpl-2-header", 2, 1 + size)]
 
 
 def sample(lang, rng, n):

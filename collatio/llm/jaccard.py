@@ -6,7 +6,8 @@ that is the same for all; the order here puts rare members first, by a count ske
 corpus (a wrong count costs time, not links). So the sets that hold a member early make a block, and blocks are
 cut into bands of set size, in which sizes don't rule a link out.
 
-A set with no other of a fitting size in its block leaves the block. In the star rounds each set is compared with
+A set with no other of a fitting size in its block leaves the block, and of blocks with the same sets one is kept (the
+words of a passage that documents share make as many such blocks). In the star rounds each set is compared with
 one leader of its block and band, another one in each round. What then isn't in one component of links is compared
 in tiles of bounded size, all sets of neighbouring bands of a block, but for pairs that a component already holds or
 a star round compared. Everywhere the bits that two bitmaps don't share bound the overlap from above; pairs that pass
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, lean, portions, shared_folder, small_batches
 from .components import components
-from .shingles import bitmap, fold, set_ids, sets_of
+from .shingles import bitmap, fold, mix, set_ids, sets_of
 
 LOWEST = -(1 << 63)
 #: The sketch: counters, and how many of them travel in a row.
@@ -148,7 +149,8 @@ BLOCKS = "tok long, salt int, salts int, s1 long, s2 long, n int"
 def blocks(percent: int):
     """From rows ordered by (tok, salt, s1, s2): each set once in its block, if the block has another of a fitting size.
 
-    A set of a salted member always stays, as it may meet those under other salts.
+    A set of a salted member always stays, as it may meet those under other salts. ``tok`` is from here on a hash of all
+    the block's sets, so blocks with the same sets are one (and should two others meet, only more sets are compared).
     """
 
     def settled(c: list[np.ndarray]) -> pa.RecordBatch:
@@ -163,7 +165,14 @@ def blocks(percent: int):
         keep = salts[at] > 1
         keep[1:] |= near
         keep[:-1] |= near
-        return pa.RecordBatch.from_arrays([pa.array(x[at[keep]]) for x in c], [x.split()[0] for x in BLOCKS.split(", ")])
+        at = at[keep]
+        if len(at):
+            first = np.flatnonzero(np.concatenate([[True], group[at][1:] != group[at][:-1]]))
+            names = np.add.reduceat(mix(s1[at].view(np.uint64) ^ mix(s2[at].view(np.uint64))), first)
+            named = np.repeat(names, np.diff(np.append(first, len(at)))).view(np.int64)
+            tok = tok.copy()
+            tok[at] = np.where(salts[at] > 1, tok[at], named)
+        return pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (tok, *c[1:])], [x.split()[0] for x in BLOCKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
@@ -386,7 +395,8 @@ def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100) * 1.0000001)).cast("int")
     early = rows.mapInArrow(lean(early_members(width, percent, sketch)), EARLY).repartition("tok", "salt").sortWithinPartitions("tok", "salt", "s1", "s2")
     met = early.mapInArrow(lean(blocks(percent)), BLOCKS)
-    held = checkpointed(met.join(sets.select("s1", "s2", "u"), ["s1", "s2"]).select("tok", band.alias("band"), "salt", "salts", "u"))
+    # rows of one set lie together after the join, so its equal blocks are met without another shuffle
+    held = checkpointed(met.join(sets.select("s1", "s2", "u"), ["s1", "s2"]).select("s1", "s2", "tok", band.alias("band"), "salt", "salts", "u").distinct().drop("s1", "s2"))
     used = held.select("u").distinct().join(sets.select("u", "s1", "s2"), "u")
     maps = checkpointed(listed.where("data is not null").join(used, ["s1", "s2"]).groupBy("s1", "s2", "u").agg(F.max("n").alias("n"), F.first("data").alias("data")).drop("s1", "s2"))
 

@@ -98,8 +98,8 @@ def set_ids(members: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def bitmap(x: np.ndarray) -> bytes:
-    """A hashed bitmap with at least four bits a member; a power of two, so larger ones fold onto smaller."""
-    bits = np.zeros(1 << max(6, (4 * len(x) - 1).bit_length()), bool)
+    """A hashed bitmap with at least eight bits a member; a power of two, so larger ones fold onto smaller."""
+    bits = np.zeros(1 << max(6, (8 * len(x) - 1).bit_length()), bool)
     bits[(x & np.uint64(len(bits) - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 

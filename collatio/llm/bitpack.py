@@ -32,7 +32,7 @@ from .common import checkpointed, lean, shared_folder, small_batches
 from .tokens import default_tokenizer, ended, piece_tokenizer
 
 MAGIC, BLOCK, HEAD = b"BITIDS01", 4096, struct.Struct("<8sII4Q")
-#: Ids that a task holds before it writes a file.
+#: Ids that a task holds before it writes a file, and that a task reads back.
 FILE_IDS = 4_000_000
 
 
@@ -185,7 +185,10 @@ def read(manifest: DataFrame) -> DataFrame:
                 keys = pa.array(r.doc_ids, pa.int64(), mask=r.doc_ids == -(1 << 63))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition(F.col("uri")).mapInArrow(rows, DIGEST)
+    # a task for some millions of ids; dealt by place, so no task gets many more files than another
+    files, ids = manifest.agg(F.count("*"), F.coalesce(F.sum("ids"), F.lit(0))).first()
+    tasks = max(1, min(files, -(-ids // FILE_IDS)))
+    return placed.repartitionByRange(tasks, "base", "uri").mapInArrow(lean(rows), DIGEST)
 
 
 def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

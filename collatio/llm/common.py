@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in slices of about this many bytes, so memory doesn't follow the batch.
@@ -18,13 +18,15 @@ SLICE_BYTES = 1 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; one of our own only on a single machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(root)
         return root
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="collatio-ckpt-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -75,31 +77,29 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def remainder_of_id(column: str, modulus: int):
-    """crc32 of the id as text, modulo; the split that the contracts name."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+def remainder_of_id(column: str, modulus: int) -> Column:
+    """crc32 of the id as text, modulo; the split that the contracts name. -1 for a null id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
-def bounded_sample(docs: DataFrame, key: str, label: str, per_class: int, max_bytes: int, classes_most: int = 64) -> list[tuple]:
+def bounded_sample(docs: DataFrame, key: str, label: str, per_class: int, max_bytes: int, marks: DataFrame | None = None) -> list[tuple]:
     """At most ``per_class`` rows of each label, of at most ``max_bytes`` bytes each, as (label, text) on the driver.
 
-    The rows with the smallest hashes are taken, so the sample doesn't depend on partitioning. Ids are chosen
-    first; texts are then fetched through a join with the chosen ids, whose number is bounded.
+    marks: the table (key, label), unless docs has the labels itself. The rows with the smallest hashes are taken, so
+    the sample doesn't depend on partitioning. Two passes, however many labels there are: ids are chosen first, by
+    a rank that each task already limits; texts are then fetched through a join with the chosen ids, whose number is
+    bounded by that of the labels.
     """
-    docs = docs.select(key, label, "text")
-    fit = docs.where(F.col(label).isNotNull() & F.col(key).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    found = sorted((r[0] for r in fit.groupBy(label).count().orderBy(F.desc("count"), label).limit(classes_most).collect()), key=str)
     spread = F.xxhash64(key)
-    chosen = None
-    for value in found:
-        one = fit.where(F.col(label) == F.lit(value)).select(key, spread.alias("_h")).orderBy("_h", key).limit(per_class).select(key)
-        chosen = one if chosen is None else chosen.unionByName(one)
-    if chosen is None:
+    fit = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
+    told = fit.select(key, label) if marks is None else fit.select(key).join(marks, key)
+    ranked = told.where(F.col(label).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(spread, key)))
+    chosen = ranked.where(F.col("_r") <= per_class).groupBy(key).agg(F.min(label).alias("_label")).collect()
+    if not chosen:
         return []
-    ids = sorted({r[0] for r in chosen.collect()})
-    picked = docs.sparkSession.createDataFrame([(i,) for i in ids], f"{key} {docs.schema[key].dataType.simpleString()}")
-    rows = fit.join(F.broadcast(picked), key).groupBy(key).agg(F.min(F.struct(F.col(label).alias("l"), F.col("text").alias("t"))).alias("r"))
-    return [(r["r"]["l"], r["r"]["t"]) for r in rows.orderBy(F.xxhash64(key), key).collect()]
+    picked = docs.sparkSession.createDataFrame(chosen, f"{key} {docs.schema[key].dataType.simpleString()}, _label {told.schema[label].dataType.simpleString()}")
+    rows = fit.select(key, "text").join(F.broadcast(picked), key).groupBy(key).agg(F.min(F.struct(F.col("_label").alias("l"), F.col("text").alias("t"))).alias("r"))
+    return [(r["r"]["l"], r["r"]["t"]) for r in rows.orderBy(spread, key).collect()]
 
 
 def portions(batch: pa.RecordBatch, column: int = 1, most: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -110,15 +110,16 @@ def portions(batch: pa.RecordBatch, column: int = 1, most: int = 4 * SLICE_BYTES
         yield batch.slice(i, j - i)
 
 
-#: Rows that travel to Python at once; texts may be long, so fewer than Spark's default.
-BATCH_ROWS = 1000
+#: Rows, and bytes, that travel to Python at once; texts may be long, so fewer than Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of ``BATCH_ROWS`` rows from now on in this session, unless it asks for smaller ones."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Arrow batches of ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes from now on in this session, unless it asks for smaller ones."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, most)
 
 
 def release() -> None:

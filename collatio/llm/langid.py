@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
 
 def train(docs: DataFrame) -> Model:
     """From rows with a language whose id's crc32 leaves another remainder than 2 by 4."""
-    return fit(bounded_sample(docs.where(remainder_of_id("doc_id", 4) != 2), "doc_id", "lang", PER_CLASS, MAX_BYTES))
+    return fit(bounded_sample(docs.select("doc_id", "text", "lang").where(remainder_of_id("doc_id", 4) != 2), "doc_id", "lang", PER_CLASS, MAX_BYTES))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """License scans by sentence rules, with DataFrame functions only.
 
 A text is lower-cased and reduced to its words (runs of letters and digits; ``https`` counts as ``http``); before words
-that begin a line or follow ``.``, ``!``, ``?``, ``;`` or ``:`` and white space there is a border. Numbers and letters of
+that begin a line or follow ``.``, ``!``, ``?``, ``;`` or ``:`` and white space, or two white spaces, there is a border. Numbers and letters of
 lists that stand between two borders are left out, and so are statements whose copyright it is. A known licence sentence
 stands where its words stand one after another from border to border, whatever borders lie inside: so wrapped lines,
 comment marks, "WARRANTY; without even" and "v. 2.0" don't matter. A number or letter of a list may stand between the
@@ -142,7 +142,7 @@ LISTED = "([0-9]{1,2}|[a-z]|[ivx]{1,4})"
 #: What stands between two borders and is left out: a number or letter of a list, and whose copyright it is.
 LEFT_OUT = [f"^{LISTED}$", r"^copyright( c)? [0-9]{4}\b"]
 #: Replacements, in order, that leave words, blanks and ``\x01`` for borders of a lower-cased text.
-TO_WORDS = [(r"[.!?;:]\s|\n", "\x01"), ("[^a-z0-9\x01]+", " "), (r"\bhttps\b", "http")]
+TO_WORDS = [(r"[.!?;:]\s|\n|\s\s", "\x01"), ("[^a-z0-9\x01]+", " "), (r"\bhttps\b", "http")]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, lean, small_batches
 from .tokens import default_tokenizer, ended, piece_tokenizer
 
-CAPACITY, SHARD, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 2048, 4096, 2, 2, 6, 3
+CAPACITY, SHARD, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 2048, 4096, 3, 3, 10, 4
 #: Bins filled to this share are kept when a shard is done; the items of others go to the pool.
 KEPT = 0.98
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

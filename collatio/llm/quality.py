@@ -150,14 +150,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """From labelled rows whose id's crc32 isn't divisible by 5."""
     marks = labels.where(F.col("quality").isin(0, 1) & (remainder_of_id("doc_id", 5) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     shares = {r[0]: float(r[1]) for r in marks.groupBy("quality").count().collect()}
-    spread = F.xxhash64("doc_id")
-    # more ids of each label than are used, as some have no text or a long one; both numbers are bounds
-    few = None
-    for label in (0, 1):
-        one = marks.where(F.col("quality") == label).orderBy(spread, "doc_id").limit(3 * PER_CLASS)
-        few = one if few is None else few.unionByName(one)
-    joined = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    return fit(bounded_sample(joined, "doc_id", "quality", PER_CLASS, MAX_BYTES), shares)
+    return fit(bounded_sample(docs, "doc_id", "quality", PER_CLASS, MAX_BYTES, marks), shares)
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ cut into bands of set size, in which sizes don't rule a link out.
 
 A set with no other of a fitting size in its block leaves the block, and of blocks with the same sets one is kept (the
 words of a passage that documents share make as many such blocks). In the star rounds each set is compared with
-one leader of its block and band, another one in each round. What then isn't in one component of links is compared
+a few leaders of its block and band, others in each round, so large groups of near copies become one component. What then isn't in one component of links is compared
 in tiles of bounded size, all sets of neighbouring bands of a block, but for pairs that a component already holds or
 a star round compared. Everywhere the bits that two bitmaps don't share bound the overlap from above; pairs that pass
 are intersected exactly. No pair of sets that could join two components is left out.
@@ -41,8 +41,8 @@ LOWEST = -(1 << 63)
 COUNTERS, SLOT = 1 << 20, 1 << 14
 #: Sets of a hot member that one task takes; rows of a tile's side; pairs of one leader in a portion.
 HOT, TILE, PORTION = 2000, 512, 1000
-#: Rounds in which each set meets one leader of its block.
-STARS = 2
+#: Star rounds: leaders of each block that a set of it meets.
+STARS = (1, 4, 8)
 #: Bits of the filter that tells which documents' sets are fetched; when full it only stops sparing work.
 BLOOM = 1 << 23
 SEEN_MOST = 500_000
@@ -396,7 +396,7 @@ def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     early = rows.mapInArrow(lean(early_members(width, percent, sketch)), EARLY).repartition("tok", "salt").sortWithinPartitions("tok", "salt", "s1", "s2")
     met = early.mapInArrow(lean(blocks(percent)), BLOCKS)
     # rows of one set lie together after the join, so its equal blocks are met without another shuffle
-    held = checkpointed(met.join(sets.select("s1", "s2", "u"), ["s1", "s2"]).select("s1", "s2", "tok", band.alias("band"), "salt", "salts", "u").distinct().drop("s1", "s2"))
+    held = checkpointed(met.join(sets.select("s1", "s2", "u"), ["s1", "s2"]).select("s1", "s2", "tok", band.alias("band"), "salt", "salts", "u", "n").distinct().drop("s1", "s2"))
     used = held.select("u").distinct().join(sets.select("u", "s1", "s2"), "u")
     maps = checkpointed(listed.where("data is not null").join(used, ["s1", "s2"]).groupBy("s1", "s2", "u").agg(F.max("n").alias("n"), F.first("data").alias("data")).drop("s1", "s2"))
 
@@ -409,14 +409,17 @@ def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
     def placed(near: DataFrame) -> DataFrame:
-        return checkpointed(held.join(near.withColumnRenamed("node", "u"), "u", "left").select("tok", "band", "salt", "salts", "u", F.coalesce("root", "u").alias("comp")))
+        return checkpointed(held.join(near.withColumnRenamed("node", "u"), "u", "left").select("tok", "band", "salt", "salts", "u", "n", F.coalesce("root", "u").alias("comp")))
 
     now, compared, links, near = held.withColumn("comp", F.col("u")), None, None, None
-    for turn in range(STARS):
-        chosen = F.min(F.struct("u", "comp")) if turn == 0 else F.min_by(F.struct("u", "comp"), F.xxhash64("u", "tok", F.lit(turn)))
-        blocks_now = now.groupBy("tok", "band").agg(chosen.alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("salts").alias("salts")).where("lo <> hi")
-        leaders = blocks_now.select("tok", "band", F.col("l.u").alias("lead"), F.col("l.comp").alias("lead_comp"), every_salt("salts"))
-        star = now.join(leaders, ["tok", "band", "salt"]).where("comp <> lead_comp").select(*pairs_of("u", "lead")).distinct()
+    member = F.struct("u", "n", "comp")
+    for turn, count in enumerate(STARS):
+        # the least set leads first, as then all blocks of a group have the same leader; later ones are drawn for each block
+        chosen = [F.min(member)] if turn == 0 else [F.min_by(member, F.xxhash64("u", "tok", F.lit(turn), F.lit(k))) for k in range(count)]
+        blocks_now = now.groupBy("tok", "band").agg(*[c.alias(f"l{k}") for k, c in enumerate(chosen)], F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("salts").alias("salts")).where("lo <> hi")
+        leaders = blocks_now.select("tok", "band", "salts", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(len(chosen))]))).alias("l")).select("tok", "band", "l", every_salt("salts"))
+        fits = 100 * F.least("n", "l.n").cast("long") >= percent * F.greatest("n", "l.n").cast("long")
+        star = now.join(leaders, ["tok", "band", "salt"]).where((F.col("comp") != F.col("l.comp")) & fits).select("u", F.col("l.u").alias("lead")).select(*pairs_of("u", "lead")).distinct()
         star = checkpointed(star if compared is None else star.join(compared, ["a", "b"], "left_anti"))
         compared = star if compared is None else compared.unionByName(star)
         found = verified(marked(star), sets, rows, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -244,6 +244,9 @@ def test_op9(spark, monkeypatch):
     few = spark.createDataFrame(vectors[:3], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, balltree.digest(few).collect())) == brute_top(vectors[:3])
     assert balltree.digest(few.limit(0)).count() == 0
+    # rows of one id are candidates of each other, and lengths don't mix
+    twice = spark.createDataFrame([(50, [1.0, 0.0]), (50, [1.0, 0.0]), (7, [0.5, 0.5]), (8, [9.0, 9.0, 9.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, balltree.digest(twice).collect())) == [(50, 1, 50, 65536)] * 2 + [(50, 2, 7, 32768)] * 2
 
 
 def test_op10(spark):

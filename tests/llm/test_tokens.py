@@ -117,5 +117,22 @@ def test_genetic_crossover_keeps_every_item():
     assert len(best) <= len(first[0]) and all(sum(lengths[i] for i in b) <= 2048 for b in best)
 
 
+def test_op4_needs_fewer_sequences_than_best_fit_where_that_misses_the_bound(spark):
+    import random
+
+    rng = random.Random(5)
+    lengths = [rng.randint(600, 750) for _ in range(900)]
+    island = packing.Island(lengths, 2048, 1)
+    best_fit = len(island.founder(False))
+    assert best_fit > island.bound
+    placed = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")).collect()
+    used: dict = {}
+    for r in placed:
+        used.setdefault(r.sequence_id, []).append((r.offset, lengths[r.uid]))
+    assert sorted(r.uid for r in placed) == list(range(900)) and island.bound <= len(used) < best_fit
+    for places in used.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(places), sorted(places)[1:])) and sum(n for _, n in places) <= 2048
+
+
 def test_the_session_names_the_checkpoint_folder(spark):
     assert checkpoint_root(spark)

@@ -48,6 +48,7 @@ SECTIONS = (
     ("investor_contact", "investor_contact", ("investor contact",)),
     ("editorial_contact", "editorial_contact", ("editorial contact",)),
 )
+#: The order of the sections decides: the first whose pattern a header has; those with the company's name come last.
 #: Sections whose headers carry the company's name; {} stands for it.
 COMPANY_SECTIONS = (
     ("income_statement", "statement_table", "{} inc unaudited condensed consolidated statements of income"),
@@ -62,8 +63,10 @@ REPEATED_LABELS = ("low", "high", "gaap eps", "non gaap eps")
 @dataclass(frozen=True)
 class Lexicon:
     company: str = "example"
-    wire_service: str = "prnewswire"
+    wire_service: str = "PRNewswire"
     sections: tuple = SECTIONS
+    #: Firms whose names mark lines that filing agents put on pages.
+    filing_agents: tuple = ()
 
     @property
     def schemas(self) -> list[tuple[str, str, str]]:

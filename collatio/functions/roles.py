@@ -104,19 +104,24 @@ def footnote_marker(c: Column) -> Column:
     return F.when(found != "", found)
 
 
-# What page headers and footers look like.
+# Keys of lines that page headers and footers hold.
 CHROME = (
-    r"^page\s+\d+(\s+of\s+\d+)?$", r"^\d+\s*/\s*\d+$", r"^\d{1,3}$", r"^https?://\S+$", r"^www\.\S+$", r"^\d{1,2}/\d{1,2}/\d{2,4},?\s+\d{1,2}:\d{2}(\s*[ap]m)?",
-    r"^form\s+(10-[kq]|8-k)$", r"^table of contents$", r"^exhibit\s+\d+(\.\d+)?$",
+    r"\d{1,2}/\d{1,2}/\d{2,4},? \d{1,2}:\d{2} ?[ap]m", r"\d+/\d+", r"page \d+ of \d+", r"8-k", r"ex-?99\.1", r"ex-?99\.1 .*ex-?99\.1", r"exhibit 99\.1",
+    r"[a-z]{2,}-w\d+-pf-\d+", r"\d{2}\.\d{2}\.\d{2}\.\d", r"[a-z0-9_-]{2,} \d{2}\.\d{2}\.\d{2}\.\d", r"[a-z0-9-]{4,} \d{2}\.\d{2}\.\d{2}\.\d", r"https?[:/].*sec\.gov/archives/edgar/.*",
 )
+CHROME_PAGES = ("1", "2", "3", "4", "5", "6", "7")
 
 
-def page_chrome(c: Column) -> Column:
-    text = F.lower(strip(normalize_text(c)))
-    out = text == ""
-    for pattern in CHROME:
-        out = out | text.rlike(pattern)
-    return out
+def page_chrome(c: Column, lexicon: Lexicon = DEFAULT) -> Column:
+    """Whether a text is what stands around pages, not in them; blank texts are."""
+
+    def of(key: Column) -> Column:
+        out = (key == "") | key.rlike("^(?:" + "|".join(CHROME) + r")\z") | (key.contains("form 8-k") & key.contains(f"{lexicon.company.lower()}, inc."))
+        for agent in lexicon.filing_agents:
+            out = out | key.contains(agent.lower())
+        return out
+
+    return bound(normalize_for_compare(c), of) | strip(normalize_text(c)).isin(*CHROME_PAGES)
 
 
 def page_section_line(line: Column, following: Column) -> Column:

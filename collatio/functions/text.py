@@ -40,21 +40,35 @@ def normalize_text(c: Column) -> Column:
     return out
 
 
+def _digit(c: Column) -> Column:
+    return c.rlike(r"(?U)\d")
+
+
 def strip_footnote_markers(c: Column) -> Column:
-    text = sub(normalize_text(c), r"(?U)^\s*\(?\d{1,2}\)?(?=\s+[A-Za-z])\s*")
-    trailing = sub(sub(text, r"(?U)\(\s*\d{1,2}\s*\)\s*$"), r"(?U)(?<=[A-Za-z])\d{1,2}(?=\s*$)")
-    return strip(F.when(text.rlike("[A-Za-z]"), trailing).otherwise(text))
+    def marked(text: Column) -> Column:
+        bare = sub(text, r"(?U)^\s*\(?\d{1,2}\)?(?=\s+[A-Za-z])\s*")
+        trailing = lambda t: sub(sub(t, r"(?U)\(\s*\d{1,2}\s*\)\s*$"), r"(?U)(?<=[A-Za-z])\d{1,2}(?=\s*$)")
+        return bound(bare, lambda t: F.when(t.rlike("[A-Za-z]"), trailing(t)).otherwise(t))
+
+    # marks are digits, so most texts take no pattern at all
+    return strip(bound(normalize_text(c), lambda t: F.when(_digit(t), marked(t)).otherwise(t)))
 
 
 def normalize_for_compare(c: Column) -> Column:
     """The key of exact matches: no footnote marks, numbers joined with their signs, single blanks, lower case."""
-    text = sub(strip_footnote_markers(c), r"(?iU)\bwww\.")
-    text = sub(text, r"(?U)([$€£¥~])\s+(?=\(?\d)", "$1")
-    text = sub(text, r"(?U)\(\s+(?=\d)", "(")
-    text = sub(text, r"(?U)(\d)\s+%", "$1%")
-    text = sub(text, r"(?U)(\d)\s+\)", "$1)")
-    text = sub(text, r"(?U)([+-])\s+(?=\d)", "$1")
-    return F.lower(F.trim(sub(text, r"(?U)\s+", " ")))
+
+    def joined(text: Column) -> Column:
+        out = sub(text, r"(?U)([$€£¥~])\s+(?=\(?\d)", "$1")
+        for pattern, to in ((r"(?U)\(\s+(?=\d)", "("), (r"(?U)(\d)\s+%", "$1%"), (r"(?U)(\d)\s+\)", "$1)"), (r"(?U)([+-])\s+(?=\d)", "$1")):
+            out = sub(out, pattern, to)
+        return out
+
+    def key(text: Column) -> Column:
+        # a blank between words stays as it is; only runs and other white space are replaced
+        return F.lower(F.trim(sub(F.when(_digit(text), joined(text)).otherwise(text), r"(?U)\s{2,}|[^\S ]", " ")))
+
+    web = lambda t: F.when(F.contains(F.lower(t), F.lit("www.")), sub(t, r"(?iU)\bwww\.")).otherwise(t)
+    return bound(bound(strip_footnote_markers(c), web), key)
 
 
 def normalize_row_key(c: Column) -> Column:
@@ -84,17 +98,25 @@ def normalize_without_refs(c: Column) -> Column:
     return normalize_for_compare(sub(sub(text, r"(?<=[A-Za-z])\)"), r"(?U)\(\s*$"))
 
 
+def words_of_key(key: Column) -> Column:
+    return F.filter(F.split(sub(key, "[^0-9a-z]+", " "), " "), lambda t: t != "")
+
+
 def bag(c: Column) -> Column:
     """Lower-case ASCII words and numbers of the key."""
-    return F.filter(F.split(sub(normalize_for_compare(c), "[^0-9a-z]+", " "), " "), lambda t: t != "")
+    return words_of_key(normalize_for_compare(c))
 
 
-def bigrams(c: Column) -> Column:
+def grams_of_key(key: Column) -> Column:
     def cut(text: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(2)))
         return F.when(F.length(text) < 2, F.array().cast("array<string>")).otherwise(pairs)
 
-    return bound(F.replace(normalize_for_compare(c), F.lit(" "), F.lit("")), cut)
+    return bound(F.replace(key, F.lit(" "), F.lit("")), cut)
+
+
+def bigrams(c: Column) -> Column:
+    return grams_of_key(normalize_for_compare(c))
 
 
 def visible(c: Column) -> Column:
@@ -106,7 +128,7 @@ def headerish(c: Column) -> Column:
     from .lexicon import DATE
 
     def of_key(key: Column) -> Column:
-        words = F.filter(F.split(sub(key, "[^0-9a-z]+", " "), " "), lambda t: t != "")
+        words = words_of_key(key)
         marked = key.contains(HEADER_MARKERS[0])
         for m in HEADER_MARKERS[1:]:
             marked = marked | key.contains(m)
@@ -164,7 +186,7 @@ def lead_label(c: Column, table_cell: Column | None = None) -> Column:
     """struct(lead, rest) where a short title-like first line stands before a longer body; else null."""
     lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|\r|\n"), strip), lambda x: x != "")
     lead = F.try_element_at(lines, F.lit(1))
-    rest = F.array_join(F.slice(lines, 2, 1_000_000), " ")
+    rest = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), " ")
     words = F.size(F.filter(F.split(lead, r"(?U)\s+"), lambda w: w != ""))
     titled = lead.rlike(r"^[A-Z][A-Za-z0-9'()/%& .-]+$") & ~lead.rlike("[.!?:;]$") & (F.length(lead) <= 64) & (words <= 8) & ~((words <= 1) & (F.length(lead) < 12))
     ok = (F.size(lines) >= 2) & titled & rest.rlike("^[\"'(]?[A-Z]") & (F.length(rest) >= 80)

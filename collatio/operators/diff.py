@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as s
 from ..functions.aligned import codes, proof, tokens_of, trim_contained
+from ..functions.contacts import contact
 from ..functions.lexicon import DATE, DEFAULT, Lexicon
 from .matcher import Block, Profile
 
@@ -323,7 +324,7 @@ def formatting(a: Block, b: Block, a_runs: list[dict], b_runs: list[dict]) -> li
 
 def wire_only(a: str, b: str, lexicon: Lexicon) -> bool:
     """Whether the target only adds the wire service's name."""
-    x, y, name = s.key_of(a), s.key_of(b), lexicon.wire_service
+    x, y, name = s.key_of(a), s.key_of(b), lexicon.wire_service.lower()
     return name in y and name not in x and s.alike(x, " ".join(y.replace(name, " ").replace("//", " ").split())) >= 0.985
 
 
@@ -403,8 +404,8 @@ def single_token(a: Block, b: Block, target: str) -> list[Comment] | None:
 
 
 def contact_comments(a: Block, b: Block, target: str, lexicon: Lexicon) -> list[Comment]:
-    value = s.contact_value(a.text, lexicon)
-    theirs = s.contact_parts(b.text, lexicon).get(value[0]) if value else None
+    value = contact(a.text, lexicon).value
+    theirs = contact(b.text, lexicon).parts.get(value[0]) if value else None
     if theirs is None or proof(value[1]) == proof(theirs):
         return []
     x, y = tokens_of(value[1]), tokens_of(theirs)
@@ -445,8 +446,8 @@ def explain(a: Block, b: Block, score: float, kind: str, group: str | None = Non
         if (found := single_token(a, b, target)) is not None:
             return found
         if target == "html" and wire_only(a.text, b.text, lexicon):
-            at = next((i for i, t in enumerate(y) if t["normalized"] == lexicon.wire_service), None)
-            return [("The word is extra in html, PRNewswire. It is not present in word.", at)]
+            at = next((i for i, t in enumerate(y) if t["normalized"] == lexicon.wire_service.lower()), None)
+            return [(f"The word is extra in html, {lexicon.wire_service}. It is not present in word.", at)]
         if target == "pdf" and page_equal(a, b) and not spacing_only(a, b):
             return looks
         if target == "pdf" and prose and (page_paragraph(a.text) == page_paragraph(b.text) or (narrative and page_noise_only(a.text, b.text))):

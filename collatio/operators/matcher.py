@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions import scalar as s
+from ..functions.contacts import contact
 from ..functions.aligned import best_window
 from ..functions.lexicon import DEFAULT, STRICT_ROLES, Lexicon
 
@@ -183,9 +184,9 @@ def groups(blocks: list[Block], lexicon: Lexicon = DEFAULT) -> list[Group]:
     while i < len(blocks):
         b, here = blocks[i], i
         i += 1
-        if label := s.label_of_contact(b.text):
+        if label := contact(b.text, lexicon).label:
             members = [here]
-            while i < len(blocks) and len(members) < 6 and not blocks[i].table_cell and not blocks[i].heading and not s.label_of_contact(blocks[i].text) and s.contact_like(blocks[i].text, lexicon):
+            while i < len(blocks) and len(members) < 6 and not blocks[i].table_cell and not blocks[i].heading and not contact(blocks[i].text, lexicon).label and contact(blocks[i].text, lexicon).like:
                 members.append(i)
                 i += 1
             out.append(Group("contact", members, label))
@@ -360,9 +361,9 @@ class Matcher:
             if j in self.used or g.members[0] in self.matches:
                 continue
             if g.kind == "contact":
-                parts = s.contact_parts(self.right[j].text, self.lexicon)
+                parts = contact(self.right[j].text, self.lexicon).parts
                 for i in g.members:
-                    field_of = s.contact_value(self.left[i].text, self.lexicon)
+                    field_of = contact(self.left[i].text, self.lexicon).value
                     if field_of is None:
                         self.take(i, j, "approx", 0.9)
                     elif field_of[0] not in parts:

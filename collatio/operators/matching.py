@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import set_overlap, similarity_of
-from ..functions.text import bag, bigrams, normalize_for_compare
+from ..functions.text import grams_of_key, normalize_for_compare, words_of_key
 from ..lineage import cut
 
 
 def prepared(side: DataFrame) -> DataFrame:
-    return side.withColumn("norm", normalize_for_compare(F.col("text"))).withColumn("tokens", bag(F.col("norm"))).withColumn("grams", bigrams(F.col("norm")))
+    return side.withColumn("norm", normalize_for_compare(F.col("text"))).withColumn("tokens", words_of_key(F.col("norm"))).withColumn("grams", grams_of_key(F.col("norm")))
 
 
 def exact_by_rank(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def same_cell(left: DataFrame, right: DataFrame) -> DataFrame:
     a = left.where("number is not null").select(*keys, *[F.col(c).alias(f"l_{c}") for c in names])
     b = right.where("number is not null").select(*keys, *[F.col(c).alias(f"r_{c}") for c in names])
     agree = lambda k: F.coalesce(F.col(f"l_{k}") == F.col(f"r_{k}"), F.lit(True))
-    row_alike = similarity_of(bag(F.col("l_row_key")), bag(F.col("r_row_key")), bigrams(F.col("l_row_key")), bigrams(F.col("r_row_key")), F.col("l_row_key"), F.col("r_row_key"))
+    row_alike = similarity_of(words_of_key(F.col("l_row_key")), words_of_key(F.col("r_row_key")), grams_of_key(F.col("l_row_key")), grams_of_key(F.col("r_row_key")), F.col("l_row_key"), F.col("r_row_key"))
     met = a.join(b, keys).where(agree("row_slot") & agree("numeric_slot") & F.coalesce((F.col("l_row_key") == F.col("r_row_key")) | (row_alike >= 0.94), F.lit(True)))
     same = F.col("l_norm") == F.col("r_norm")
     return met.select("pair_id", F.col("l_order").alias("left_order"), F.col("r_order").alias("right_order"), F.when(same, "exact").otherwise("approx").alias("match_type"), F.when(same, 1.0).otherwise(0.95).alias("score"))
@@ -159,12 +159,23 @@ def sections(blocks: DataFrame, header: Column) -> DataFrame:
     return marked.groupBy("pair_id", "section").agg(F.min("order").alias("first_order"), F.max("order").alias("last_order"), F.count("*").alias("blocks"), text.alias("text"))
 
 
+#: Left sides of a containment join up to this many words are sent to every task; larger ones are shuffled.
+WORDS_SENT = 1_000_000
+
+
 def contained(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Left texts that stand whole in right ones, found through the left's longest word.
+    """Left texts that stand whole in right ones, found through a rare word of the left's.
 
-    Sides: (pair_id or nothing shared, order, norm, tokens); a fragment's longest word is the blocking key.
+    Sides: (pair_id or nothing shared, order, norm, tokens). A right text that holds a left one has the left's word in
+    the fewest right texts; only places travel to the join by words, texts are fetched for pairs that it finds.
     """
-    key = F.element_at(F.array_sort(F.transform("tokens", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1)["t"]
-    a = left.where(F.size("tokens") > 0).select(F.col("order").alias("left_order"), F.col("norm").alias("ln"), key.alias("word"))
-    b = right.select(F.col("order").alias("right_order"), F.col("norm").alias("rn"), F.explode(F.array_distinct("tokens")).alias("word"))
-    return a.join(b, "word").where(F.col("rn").contains(F.col("ln"))).select("left_order", "right_order")
+    a = left.where(F.size("tokens") > 0).select(F.col("order").alias("left_order"), F.explode(F.array_distinct("tokens")).alias("word"))
+    sought = a.select("word").distinct()
+    sent = F.broadcast(sought) if sought.limit(WORDS_SENT + 1).count() <= WORDS_SENT else sought
+    b = right.select(F.col("order").alias("right_order"), F.explode(F.array_distinct("tokens")).alias("word")).join(sent, "word")
+    # a word that no right text has rules its left text out
+    often = a.join(b.groupBy("word").agg(F.count("*").alias("n")), "word", "left")
+    key = often.groupBy("left_order").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    met = key.join(b, "word").select("left_order", "right_order")
+    met = met.join(left.select(F.col("order").alias("left_order"), F.col("norm").alias("ln")), "left_order").join(right.select(F.col("order").alias("right_order"), F.col("norm").alias("rn")), "right_order")
+    return met.where(F.col("rn").contains(F.col("ln"))).select("left_order", "right_order")

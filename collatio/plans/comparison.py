@@ -54,7 +54,7 @@ lft AS (SELECT * FROM (SELECT pair_id, generate_subscripts(l, 1) - 1 AS ord, unn
 rgt AS (SELECT pair_id, ord, CASE (ord + pair_id) % 5 WHEN 1 THEN 'Then ' || text WHEN 2 THEN regexp_replace(text, '[0-9]', '7', 'g') ELSE text END AS text
   FROM lft WHERE (ord + pair_id) % 7 <> 3)"""
 KEYED = f"""{LINES},
-lk AS (SELECT *, {S.key("text")} AS norm FROM lft), rk AS (SELECT *, {S.key("text")} AS norm FROM rgt),
+lk AS MATERIALIZED (SELECT *, {S.key("text")} AS norm FROM lft), rk AS MATERIALIZED (SELECT *, {S.key("text")} AS norm FROM rgt),
 lr AS (SELECT *, row_number() OVER (PARTITION BY pair_id, norm ORDER BY ord) AS n FROM lk),
 rr AS (SELECT *, row_number() OVER (PARTITION BY pair_id, norm ORDER BY ord) AS n FROM rk),
 ex AS (SELECT lr.pair_id, lr.ord AS l, rr.ord AS r FROM lr JOIN rr USING (pair_id, norm, n))"""
@@ -67,7 +67,7 @@ def keyed(spark, sf_dir):
 
 CELLS_SQL = """WITH li AS (SELECT l_orderkey AS pair_id, CAST(l_linenumber AS INTEGER) AS row, min(l_partkey) AS part, CAST(min(round(l_quantity)) AS BIGINT) AS qty,
   CAST(min(round(l_extendedprice * 100)) AS BIGINT) AS cents, CAST(min(round(l_discount * 100)) AS BIGINT) AS pct FROM lineitem GROUP BY 1, 2),
-money AS (SELECT *, CAST(cents // 100000 AS VARCHAR) || ',' || lpad(CAST((cents // 100) % 1000 AS VARCHAR), 3, '0') || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS said FROM li),
+money AS MATERIALIZED (SELECT *, CAST(cents // 100000 AS VARCHAR) || ',' || lpad(CAST((cents // 100) % 1000 AS VARCHAR), 3, '0') || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS said FROM li),
 cells AS (
   SELECT pair_id, 0 AS "table", row, 0 AS col, CASE WHEN part % 3 = 0 THEN 'Revenue of part ' ELSE 'Shares outstanding, part ' END || part || ' (' || (row % 9) || ')' AS text FROM money
   UNION ALL SELECT pair_id, 0, row, 1, CAST(qty AS VARCHAR) FROM money
@@ -86,8 +86,9 @@ def cells_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CELL_KEYS = f"""{CELLS_SQL},
-slots AS (SELECT *, row * 10 + col AS ord, {S.row_key("first_value(text) OVER w")} AS row_key, row_number() OVER w - 1 AS row_slot,
-  CASE WHEN col > 0 THEN sum(CASE WHEN col > 0 THEN 1 ELSE 0 END) OVER w - 1 END AS numeric_slot FROM cells WINDOW w AS (PARTITION BY pair_id, "table", row ORDER BY col ROWS UNBOUNDED PRECEDING))"""
+rowkeys AS MATERIALIZED (SELECT pair_id, "table", row, {S.row_key("text")} AS row_key FROM cells WHERE col = 0),
+slots AS MATERIALIZED (SELECT cells.*, row * 10 + col AS ord, row_key, row_number() OVER w - 1 AS row_slot,
+  CASE WHEN col > 0 THEN sum(CASE WHEN col > 0 THEN 1 ELSE 0 END) OVER w - 1 END AS numeric_slot FROM cells JOIN rowkeys USING (pair_id, "table", row) WINDOW w AS (PARTITION BY pair_id, "table", row ORDER BY col ROWS UNBOUNDED PRECEDING))"""
 
 
 def slotted(spark, sf_dir) -> DataFrame:
@@ -120,7 +121,7 @@ for _name, _column, _expr in (
     ("headerish_text", text.headerish, S.headerish("text")),
     ("bag_size", lambda c: F.size(text.bag(c)), f"CAST(len({S.bag('text')}) AS INTEGER)"),
     ("bigram_count", lambda c: F.size(text.bigrams(c)), f"CAST(len({S.grams_of('k')}) AS INTEGER)"),
-    ("separator_symbol", lambda c: text.separator_symbol(F.substring(c, 1, 40)), S.sub("substring(text, 1, 40)", r"\s+")),
+    ("separator_symbol", text.separator_symbol, S.sub("text", r"\s+")),
     ("describe_whitespace", text.describe_whitespace, "CASE length(text) - length(replace(text, ' ', '')) WHEN 0 THEN 'no space' WHEN 1 THEN '1 space' ELSE (length(text) - length(replace(text, ' ', ''))) || ' spaces' END"),
     ("run_kind", lambda c: text.run_kind(F.substring(c, -1, 1)), r"CASE WHEN right(text, 1) = ' ' THEN 'space' WHEN regexp_full_match(right(text, 1), '[$€£¥%~()\[\]{}:;,.!?/&+\-–—•]') THEN 'symbol' ELSE 'text' END"),
     ("shorten_text", lambda c: text.shorten(c, 40), f"CASE WHEN length(trim({S.sub(S.text('text'), r'\s+', ' ')})) <= 40 THEN trim({S.sub(S.text('text'), r'\s+', ' ')}) ELSE rtrim(substring(trim({S.sub(S.text('text'), r'\s+', ' ')}), 1, 39)) || '…' END"),
@@ -161,7 +162,7 @@ def numeric_parse(spark, sf_dir):
     return cells_of(spark, sf_dir).where("col > 0").select("pair_id", "row", "col", n["value"].alias("value"), n["is_percent"].alias("is_percent"))
 
 
-@query(f"""{CELLS_SQL}, n AS (SELECT pair_id, row, col, {NUM} AS v, contains(text, '%') AS p FROM cells WHERE col > 0)
+@query(f"""{CELLS_SQL}, n AS MATERIALIZED (SELECT pair_id, row, col, {NUM} AS v, contains(text, '%') AS p FROM cells WHERE col > 0)
 SELECT a.pair_id, a.row, a.col AS col_a, b.col AS col_b, round(CASE WHEN a.p <> b.p THEN 0.0 WHEN a.v = b.v THEN 1.0 WHEN (a.v < 0) <> (b.v < 0) THEN 0.0
  WHEN a.v <> 0 AND b.v <> 0 AND abs(log10(abs(nullif(a.v, 0))) - log10(abs(nullif(b.v, 0)))) > 1 THEN 0.0 ELSE greatest(0.0, 1 - least(1.0, abs(a.v - b.v) / greatest(abs(a.v), abs(b.v), 1) * 0.5)) END, 9) AS score
 FROM n a JOIN n b ON a.pair_id = b.pair_id AND a.row = b.row AND a.col < b.col""")
@@ -305,7 +306,7 @@ def edited_cells(spark, sf_dir):
 
 
 EDITED = f"""{CELL_KEYS}, edited AS (SELECT * REPLACE (CASE WHEN col > 0 AND (pair_id + row + col) % 3 = 0 THEN regexp_replace(text, '[0-9](%?)$', '9\\1') WHEN row % 4 = 0 THEN regexp_replace(text, '^\\$ ', '') ELSE text END AS text) FROM slots),
-bth AS (SELECT a.pair_id, a.row, a.col, a.ord, a.row_key, a.text AS l, b.text AS r FROM slots a JOIN edited b USING (pair_id, row, col))"""
+bth AS MATERIALIZED (SELECT a.pair_id, a.row, a.col, a.ord, a.row_key, a.text AS l, b.text AS r FROM slots a JOIN edited b USING (pair_id, row, col))"""
 
 
 @query(f"{EDITED} SELECT pair_id, ord AS left_order, ord AS right_order, CASE WHEN {S.key('l')} = {S.key('r')} THEN 'exact' ELSE 'approx' END AS match_type, CASE WHEN {S.key('l')} = {S.key('r')} THEN 1.0::DOUBLE ELSE 0.95::DOUBLE END AS score FROM bth WHERE col > 0")
@@ -341,11 +342,11 @@ def row_currency(spark, sf_dir):
     return tokens.with_row_currency(slotted(spark, sf_dir), "pair_id").select("pair_id", "row", "col", "row_symbol")
 
 
-@query(f"""{CELL_KEYS}, m AS (SELECT *, CASE WHEN col > 0 THEN {NUM} END AS v, sum(CASE WHEN col = 3 THEN 1 ELSE 0 END) OVER w AS pc, sum(CASE WHEN {S.symbol('text')} IS NOT NULL THEN 1 ELSE 0 END) OVER w AS sy
- FROM (SELECT * FROM slots WHERE col <> 3 OR row % 9 = 0) WINDOW w AS (PARTITION BY pair_id ORDER BY row RANGE BETWEEN 6 PRECEDING AND 6 FOLLOWING))
+@query(f"""{CELL_KEYS}, m AS (SELECT *, CASE WHEN col > 0 THEN {NUM} END AS v, sum(CASE WHEN contains(text, '%') THEN 1 ELSE 0 END) OVER w AS pc, sum(CASE WHEN {S.symbol('text')} IS NOT NULL THEN 1 ELSE 0 END) OVER w AS sy
+ FROM (SELECT * REPLACE (CASE WHEN col = 3 AND row % 9 <> 0 THEN replace(text, '%', '') ELSE text END AS text) FROM slots) WINDOW w AS (PARTITION BY pair_id ORDER BY row RANGE BETWEEN 6 PRECEDING AND 6 FOLLOWING))
 SELECT pair_id, row, col, CASE WHEN col > 0 AND (abs(v) >= 100 OR contains(text, ',')) AND pc < 2 AND sy >= 1 AND NOT {S.any_of('row_key', ("shares used in computing", "outstanding shares", "shares outstanding", "tax rate", "effective tax rate", "% of total", "operating margin"))} AND {S.any_of('row_key', ("revenue",))} THEN '$' END AS table_symbol FROM m""")
 def table_currency(spark, sf_dir):
-    few = slotted(spark, sf_dir).where("col <> 3 or row % 9 = 0")
+    few = slotted(spark, sf_dir).withColumn("text", F.when((F.col("col") == 3) & (F.col("row") % 9 != 0), F.replace("text", F.lit("%"), F.lit(""))).otherwise(F.col("text")))
     return tokens.with_table_currency(few, "pair_id").select("pair_id", "row", "col", "table_symbol")
 
 
@@ -501,18 +502,21 @@ def html_runs(spark, sf_dir):
 
 
 def page_words(spark, sf_dir):
-    """Words laid out on pages: each line of a document a row of 18 points, each character 5 points wide."""
-    lines = left_lines(spark, sf_dir).select(F.col("pair_id").alias("doc_id"), F.floor(F.col("order") / 40).cast("int").alias("page"), (F.col("order") % 40).alias("n"), F.posexplode(F.split("text", " ")).alias("k", "text"))
+    """Words laid out on pages: a document's line is a row of 18 points, a character 5 points wide, six words a cluster."""
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    lines = left_lines(spark, sf_dir).select(F.col("pair_id").alias("doc_id"), F.floor(F.col("order") / 40).cast("int").alias("page"), (F.col("order") % 40).alias("n"), F.posexplode(words).alias("k", "text"))
     from pyspark.sql import Window
 
     w = Window.partitionBy("doc_id", "page", "n").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    x0 = 5.0 * F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))
+    x0 = 5.0 * F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)) + 40.0 * F.floor(F.col("k") / 6)
     y0 = 40.0 + 18.0 * F.col("n")
-    return lines.where("text <> ''").select("doc_id", "page", x0.alias("x0"), y0.alias("y0"), (x0 + 5.0 * F.length("text")).alias("x1"), (y0 + 10.0).alias("y1"), "text")
+    return lines.select("doc_id", "page", x0.alias("x0"), y0.alias("y0"), (x0 + 5.0 * F.length("text")).alias("x1"), (y0 + 10.0).alias("y1"), "text")
 
 
-@query(f"""{LINES}, l2 AS (SELECT pair_id, ord, list_filter(string_split(text, ' '), lambda w: w <> '') AS w FROM lft)
-SELECT pair_id AS doc_id, CAST(ord // 40 AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY pair_id, ord // 40 ORDER BY ord) - 1 AS INTEGER) AS line, CAST(0 AS INTEGER) AS cluster, array_to_string(w, ' ') AS text FROM l2 WHERE len(w) > 0""")
+@query(f"""{LINES}, l2 AS (SELECT pair_id, ord, list_filter(string_split(text, ' '), lambda w: w <> '') AS w FROM lft),
+l3 AS (SELECT *, row_number() OVER (PARTITION BY pair_id, ord // 40 ORDER BY ord) - 1 AS line FROM l2 WHERE len(w) > 0),
+l4 AS (SELECT pair_id, ord, line, w, unnest(range((len(w) + 5) // 6)) AS cluster FROM l3)
+SELECT pair_id AS doc_id, CAST(ord // 40 AS INTEGER) AS page, CAST(line AS INTEGER) AS line, CAST(cluster AS INTEGER) AS cluster, array_to_string(w[cluster * 6 + 1 : cluster * 6 + 6], ' ') AS text FROM l4""")
 def page_clusters(spark, sf_dir):
     return pages.clusters(page_words(spark, sf_dir)).select("doc_id", "page", "line", "cluster", "text")
 
@@ -522,6 +526,35 @@ def page_blocks(spark, sf_dir):
     return pages.blocks(page_words(spark, sf_dir))
 
 
+def page_cells(spark, sf_dir):
+    """Cells of an order's table as text blocks of a page: a row of 18 points, four columns."""
+    x0 = F.element_at(F.array(*map(F.lit, (0.0, 300.0, 400.0, 550.0))), F.col("col") + 1)
+    y0 = 40.0 + 18.0 * F.col("row")
+    return cells_of(spark, sf_dir).select(F.col("pair_id").alias("doc_id"), F.lit(0).alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + 5.0 * F.length("text")).alias("x1"), (y0 + 10.0).alias("y1"), "text")
+
+
+#: Single digits stand for page numbers on pages, and are no cells.
+PAGE_ROWS = f"""{CELL_KEYS}, placed AS (SELECT *, col > 0 AND regexp_full_match(text, '[1-7]') AS chrome, dense_rank() OVER (PARTITION BY pair_id ORDER BY row) - 1 AS line, count(*) OVER (PARTITION BY pair_id) > 4 AS several FROM slots),
+kept AS (SELECT pair_id AS doc_id, CAST(line AS INTEGER) AS row, col, text, row_key, several, CASE WHEN col > 0 THEN CAST(sum(CASE WHEN col > 0 THEN 1 ELSE 0 END) OVER w - 1 AS INTEGER) END AS numeric_slot, row_number() OVER w - 1 AS place
+  FROM placed WHERE NOT chrome WINDOW w AS (PARTITION BY pair_id, line ORDER BY col ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"""{PAGE_ROWS} SELECT doc_id, row, CAST(col AS INTEGER) AS col, replace(text, '$ ', '') AS text, row_key, numeric_slot FROM kept WHERE several""")
+def page_table_cells(spark, sf_dir):
+    """Cells that are found again in the words of tables of two rows or more."""
+    cells = page_cells(spark, sf_dir).select("doc_id", "page", "x0", "y0", "y1", F.posexplode(F.split("text", " ")).alias("k", "word"), F.split("text", " ").alias("all"))
+    before = F.aggregate(F.slice("all", F.lit(1), F.col("k")), F.lit(0), lambda n, w: n + F.length(w) + 1)
+    x0 = F.col("x0") + 5.0 * before
+    words = cells.select("doc_id", "page", x0.alias("x0"), "y0", (x0 + 5.0 * F.length("word")).alias("x1"), "y1", F.col("word").alias("text"))
+    return pages.blocks(words).where("table_cell").select("doc_id", "row", "col", "text", "row_key", "numeric_slot")
+
+
+@query(f"""{PAGE_ROWS} SELECT doc_id, row, CAST(place AS INTEGER) AS col, replace(text, '$ ', '$') AS text, row_key, numeric_slot, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY row, col) - 1 AS INTEGER) AS ord FROM kept""")
+def page_standard_cells(spark, sf_dir):
+    """Rows of text blocks."""
+    return pages.standard_blocks(page_cells(spark, sf_dir)).select("doc_id", "row", "col", "text", "row_key", "numeric_slot", F.col("order").cast("int").alias("ord"))
+
+
 @query()
 def page_segments(spark, sf_dir):
     return roles.page_segments(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])

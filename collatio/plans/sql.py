@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import count
+
 from ..functions.lexicon import CURRENCY_ROWS, FINANCE_ROWS, HEADER_MARKERS, NUMBER, RATE_ROWS, SHARE_ROWS, TOKEN
 
 
@@ -31,10 +34,19 @@ def text(x: str) -> str:
     return out
 
 
+_names = count()
+
+
+def once(x: str, use: Callable[[str], str]) -> str:
+    """``use`` of an expression that is written, and computed, once."""
+    v = f"v{next(_names)}"
+    return f"list_transform([{x}], lambda {v}: {use(v)})[1]"
+
+
 def no_marks(x: str) -> str:
     a = sub(text(x), r"^\s*\(?\d{1,2}\)?\s+([A-Za-z])", r"\1", "")
-    b = sub(sub(a, r"\(\s*\d{1,2}\s*\)\s*$", "", ""), r"([A-Za-z])\d{1,2}(\s*)$", r"\1\2", "")
-    return strip(f"CASE WHEN regexp_matches({a}, '[A-Za-z]') THEN {b} ELSE {a} END")
+    b = lambda v: sub(sub(v, r"\(\s*\d{1,2}\s*\)\s*$", "", ""), r"([A-Za-z])\d{1,2}(\s*)$", r"\1\2", "")
+    return strip(once(a, lambda v: f"CASE WHEN regexp_matches({v}, '[A-Za-z]') THEN {b(v)} ELSE {v} END"))
 
 
 def key(x: str) -> str:

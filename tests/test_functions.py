@@ -6,11 +6,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from collatio.functions import aligned, roles, scalar, similarity, text, tokens
+from collatio.functions.contacts import contact
 
 SAMPLES = [
     None, "", "18\t%", "$    0.34", "(2.1) %", "1 Revenue grew 5", "Net income(2)", "- Item one", "% of total", "www.Example.com is up",
     "Range for Three Months Ending", "2024 2025", "Low", "as of January 31, 2024 it was", "“Quoted text”, said Ann Lee, Chief Executive Officer", "Ünïcode — dash • bullet &amp; more",
     "Investor Contact: Ann Lee Example, Inc. 555-123-4567 ann@example.com", "( 5 ) percent", "+ 7 and - 8", "GAAP Results", "forward-looking statements", "A\n\nb \n c",
+    "no digits  but\tblanks\u00a0here", "WWW.shouted.example and www.plain.example 3", "Sales (3) rose 4 %", "(4) Sales", "Anna Bell", "ANNA BELL", "call 555-123-4567 or a@b.example", "Editorial Contact:", "editorial contacts", "\u2003wide\u2003blank 5\u2003%", "x (12)", "5",
 ]
 
 
@@ -25,7 +27,7 @@ def column(spark, values, f):
         (text.normalize_proof, aligned.proof), (text.normalize_text, aligned.plain), (text.normalize_for_compare, scalar.key_of), (text.normalize_row_key, scalar.row_key_of),
         (text.strip_footnote_markers, scalar.no_marks), (text.strip_leading_markers, scalar.no_lead), (text.normalize_alnum, scalar.alnum_of), (text.normalize_without_refs, scalar.no_refs),
         (lambda c: F.array_join(text.bag(c), " "), lambda t: " ".join(scalar.bag_of(t))), (text.visible, scalar.visible_text), (text.headerish, scalar.header_like), (roles.quote_role, scalar.role_of_quote),
-        (roles.repeated_label, scalar.repeat_key), (roles.contact_label, scalar.label_of_contact),
+        (roles.repeated_label, scalar.repeat_key), (roles.contact_label, lambda t: contact(t).label), (roles.contact_role, lambda t: (contact(t).value or [None])[0]), (roles.contact_text, lambda t: contact(t).like),
     ],
 )
 def test_native_equals_plain(spark, native, plain):
@@ -57,7 +59,7 @@ def test_similarities_native(spark):
 
 
 def test_numbers(spark):
-    values = ["1,234.5", "(2.5)", "12%", "-3", "$ 7", "abc", "", "1e3"]
+    values = ["1,234.5", "(2.5)", "12%", "-3", "$ 7", "abc", "", "1e3", "(7)%", "+4", "5.", ".5", "(", "1 2", "--1", "%"]
     got = column(spark, values, tokens.parse_number)
     want = [scalar.number_of(v) for v in values]
     assert [tuple(x) if x else None for x in got] == want

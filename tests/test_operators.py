@@ -111,6 +111,53 @@ def test_page_tables(spark):
     assert got == {(0, 0): "Revenue", (0, 1): "100", (1, 0): "Costs", (1, 1): "90", (2, 0): "Profit", (2, 1): "10"}
 
 
+def page_words(lines):
+    """Each line's words side by side; lines: (x0, y0, height, text)."""
+    out = []
+    for x0, y0, height, text in lines:
+        for k, word in enumerate(text.split(" ")):
+            x = x0 + 5.0 * len(" ".join(text.split(" ")[:k]) + " " * (k > 0))
+            out.append((1, 0, x, y0, x + 5.0 * len(word), y0 + height, word, 612.0))
+    return out
+
+
+def test_page_paragraphs(spark):
+    lines = [
+        (20.0, 10.0, 10.0, "A line of text that goes on"), (20.0, 24.0, 10.0, "and on for a second line"),  # near
+        (20.0, 62.0, 10.0, "and a third, as the paragraph is tall by now"), (260.0, 76.0, 10.0, "too far to the right"), (20.0, 90.0, 10.0, "Back left."),
+        (20.0, 104.0, 10.0, "After a full stop a new one"), (20.0, 118.0, 10.0, "write to someone@example.com or call there"), (20.0, 200.0, 10.0, "page 3 of 9"),
+        (20.0, 230.0, 10.0, "Wide lines " + "go on " * 16 + "to here."), (20.0, 244.0, 10.0, "Even after a stop it goes on"),
+    ]
+    df = spark.createDataFrame(page_words(lines), "doc_id long, page int, x0 double, y0 double, x1 double, y1 double, text string, page_width double")
+    got = [r.text for r in pages.blocks(df).orderBy("order").collect()]
+    text = [x[3] for x in lines]
+    assert got == [" ".join(text[:3]), text[3], text[4], text[5], text[6], text[8] + " " + text[9]]
+
+
+def test_page_rows_follow_the_mean_of_the_row(spark):
+    # each word a little lower than the last: the row ends where one lies too far from the row's mean
+    rects = [(1, 0, 40.0 * k, 100.0 + 1.8 * k, 40.0 * k + 30, 110.0 + 1.8 * k, f"w{k}") for k in range(8)]
+    df = spark.createDataFrame(rects, "doc_id long, page int, x0 double, y0 double, x1 double, y1 double, text string").repartition(3)
+    lines, middles = [], []
+    for r in rects:
+        middle = (r[3] + r[5]) / 2
+        if middles and abs(middle - sum(middles) / len(middles)) > 6.0:
+            lines.append(lines[-1] + 1)
+            middles = []
+        else:
+            lines.append(lines[-1] if lines else 0)
+        middles.append(middle)
+    got = {r.text: r.line for r in pages.in_lines(df, 4.0, 0.6).collect()}
+    assert got == {f"w{k}": n for k, n in enumerate(lines)} and max(lines) == 1
+
+
+def test_standard_page_rows(spark):
+    rects = [(1, 2, 10.0, 10.0, 90.0, 20.0, "Net revenue (1)"), (1, 2, 200.0, 11.0, 240.0, 21.0, "$ 1,200"), (1, 2, 300.0, 10.0, 340.0, 20.0, "n/a"), (1, 2, 10.0, 60.0, 90.0, 70.0, "Alone"), (1, 2, 10.0, 90.0, 20.0, 95.0, "7")]
+    df = spark.createDataFrame(rects, "doc_id long, page int, x0 double, y0 double, x1 double, y1 double, text string")
+    got = [(r.text, r.table, r.row, r.col, r.row_key, r.numeric_slot) for r in pages.standard_blocks(df).orderBy("order").collect()]
+    assert got == [("Net revenue (1)", 2, 0, 0, "net revenue", None), ("$1,200", 2, 0, 1, "net revenue", 0), ("n/a", 2, 0, 2, "net revenue", None), ("Alone", None, None, None, None, None)]
+
+
 def test_comparison_end_to_end(spark):
     left = spark.createDataFrame([(1, 0, "Revenue was 5 in 2023 for the firm"), (1, 1, "Only on the left side here")], "pair_id long, order int, text string")
     right = spark.createDataFrame([(1, 0, "Revenue was 5 in 2024 for the firm"), (1, 1, "Something new was put on the right, which is long")], "pair_id long, order int, text string")

@@ -448,8 +448,9 @@ def link_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
 
 def digest(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id that links reach."""
-    rows = link_components(docs, width, percent)
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("d").alias("least"))
+    rows = checkpointed(link_components(docs, width, percent))
+    # written, so that the join has a shuffle of its own on either side and can split the rows of a large group
+    least = checkpointed(rows.where("comp is not null").groupBy("comp").agg(F.min("d").alias("least")))
     given = lambda c: F.when(F.col(c) == LOWEST, None).otherwise(F.col(c))
     return rows.join(least, "comp", "left").select(given("d").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("least").isNull(), given("d")).otherwise(given("least")).alias("component_id"))
 
@@ -460,7 +461,7 @@ def stage(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     Of several with that id the one whose text has the least hash stays. Rows with equal doc_id and text count as one
     document.
     """
-    rows = link_components(docs, width, percent)
+    rows = checkpointed(link_components(docs, width, percent))
     kept = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct("d", "h")).alias("k")).select(F.col("k.d").alias("_kept"), F.col("k.h").alias("_h"))
     alone = rows.where("comp is null").select(F.col("d").alias("_kept"), F.col("h").alias("_h"))
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LOWEST)).alias("_kept"), F.xxhash64(docs["text"].cast("string")).alias("_h"))

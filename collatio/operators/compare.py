@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import DEFAULT, Lexicon
 from ..functions.roles import assign_roles
 from ..functions.text import visible
-from ..functions.tokens import with_row_currency, with_table_currency
+from ..functions.tokens import currency_symbol, effective_currency, with_row_currency, with_table_currency
 from ..lineage import cut
 from . import diff, matcher, review
 from .matcher import Profile
@@ -23,6 +23,13 @@ def completed(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({k: F.expr(v) for k, v in DEFAULTS.items() if k not in blocks.columns})
 
 
+def with_currency(blocks: DataFrame) -> DataFrame:
+    """Adds row_symbol, table_symbol and ``currency``, the effective one: the text's own, else the row's, the table's, what the row is about."""
+    b = with_table_currency(with_row_currency(blocks, "pair_id"), "pair_id")
+    own = currency_symbol(F.col("text"))
+    return b.withColumn("currency", effective_currency(F.col("text"), own, F.col("row_symbol"), F.col("table_symbol"), F.col("row_key")))
+
+
 @dataclass
 class Result:
     matches: DataFrame
@@ -42,8 +49,7 @@ class Comparison:
         b = completed(blocks)
         if "structure_role" not in b.columns:
             b = assign_roles(b, "pair_id", self.lexicon, fuzzy=True)
-        b = with_table_currency(with_row_currency(b, "pair_id"), "pair_id")
-        return b.withColumn("currency", F.coalesce("row_symbol", "table_symbol"))
+        return with_currency(b)
 
     def compare(self, left: DataFrame, right: DataFrame) -> Result:
         a, b = self.side(left), self.side(right)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aligned, roles, similarity, text, tokens
-from ..operators import compare, matcher, matching, review
+from ..operators import compare, diff, matcher, matching, review
 from ..sources import docx, html, pages
 from . import sql as S
 
@@ -353,21 +353,31 @@ def table_currency(spark, sf_dir):
 # ---- comments --------------------------------------------------------------
 
 
+def explained(pairs: DataFrame, profile: matcher.Profile = matcher.Profile()) -> DataFrame:  # noqa: B008
+    """The comments of pairs (pair_id, l, r): sides are structs with order, text and what else is known of a block."""
+    same = text.normalize_for_compare(F.col("l.text")) == text.normalize_for_compare(F.col("r.text"))
+    rated = pairs.withColumns({"match_type": F.when(same, "exact").otherwise("approx"), "score": F.when(same, 1.0).otherwise(0.95), "group_type": F.lit(None).cast("string")})
+    return diff.comments(rated, profile)
+
+
 def cell_pairs(spark, sf_dir):
+    """Comments of cells that differ, by the operator, with their places."""
+
+    def side(cells: DataFrame, name: str) -> DataFrame:
+        shown = compare.with_currency(compare.completed(cells.drop("norm", "number", "alnum")))
+        return shown.where("col > 0").select("pair_id", "row", "col", F.struct("order", "text", "table_cell", "table", "row", "col", "row_key", "row_slot", "numeric_slot", "row_symbol", "currency").alias(name))
+
     a, b = edited_cells(spark, sf_dir)
-    met = a.where("col > 0").select("pair_id", "row", "col", F.col("text").alias("l"), F.col("number").alias("ln")).join(b.select("pair_id", "row", "col", "order", F.col("text").alias("r"), F.col("number").alias("rn")), ["pair_id", "row", "col"])
-    x, y = tokens.token_norm(F.col("ln")), tokens.token_norm(F.col("rn"))
-    cur = lambda k: F.coalesce(tokens.currency_symbol(F.col(k)), F.lit(""))
-    said = F.when((x == y) & (cur("l") != cur("r")), F.concat(F.lit("The currency symbol is different, html has "), cur("r"), "rn", F.lit(" while word has "), cur("l"), "ln", F.lit("."))).when(
-        x != y, F.concat(F.lit("The number is different, "), cur("r"), "rn", F.lit(" in html while "), cur("l"), "ln", F.lit(" in word."))
-    )
-    return met.withColumn("contents", said).where("contents is not null")
+    met = side(a, "l").join(side(b, "r"), ["pair_id", "row", "col"]).where(F.col("l.text") != F.col("r.text"))
+    said = explained(met.select("pair_id", "l", "r"))
+    return said.select("pair_id", F.floor(F.col("right_order") / 10).cast("int").alias("row"), (F.col("right_order") % 10).alias("col"), F.col("right_order").alias("order"), "contents")
 
 
 TOK = lambda k: rf"regexp_replace({k}, '^\$ ', '')"
-COMMENTS = f"""{EDITED}, n AS (SELECT *, {TOK('l')} AS ln, {TOK('r')} AS rn, coalesce({S.symbol('l')}, '') AS lc, coalesce({S.symbol('r')}, '') AS rc FROM bth WHERE col > 0),
+COMMENTS = f"""{EDITED}, shown AS (SELECT *, coalesce({S.symbol('l')}, '') AS lc, coalesce({S.symbol('r')}, '') AS rc FROM bth),
+n AS (SELECT *, {TOK('l')} AS ln, {TOK('r')} AS rn, max(lc) OVER (PARTITION BY pair_id, row) AS lrow, max(rc) OVER (PARTITION BY pair_id, row) AS rrow FROM shown),
 said AS (SELECT pair_id, row, col, ord, CASE WHEN replace(ln, ',', '') = replace(rn, ',', '') AND lc <> rc THEN 'The currency symbol is different, html has ' || rc || rn || ' while word has ' || lc || ln || '.'
- WHEN replace(ln, ',', '') <> replace(rn, ',', '') THEN 'The number is different, ' || rc || rn || ' in html while ' || lc || ln || ' in word.' END AS contents FROM n)"""
+ WHEN replace(ln, ',', '') <> replace(rn, ',', '') THEN 'The number is different, ' || (CASE WHEN rc <> '' THEN r ELSE rrow || rn END) || ' in html while ' || (CASE WHEN lc <> '' THEN l ELSE lrow || ln END) || ' in word.' END AS contents FROM n WHERE col > 0)"""
 
 
 @query(f"{COMMENTS} SELECT pair_id, row, col, contents FROM said WHERE contents IS NOT NULL")
@@ -398,9 +408,8 @@ def date_differences(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     say = lambda d: F.concat(F.lit("ended "), F.date_format(d, "MMMM d, yyyy"), F.lit(" as said"))
     later = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate") + F.expr("interval 1 day")).otherwise(F.col("o_orderdate"))
-    x, y = tokens.date_phrases(say(F.col("o_orderdate"))), tokens.date_phrases(say(later))
-    d = o.select(F.col("o_orderkey").alias("pair_id"), x.alias("x"), y.alias("y")).where("size(x) = 1 and size(y) = 1").select("pair_id", F.col("x")[0].alias("x"), F.col("y")[0].alias("y"))
-    return d.where(text.normalize_for_compare(F.col("x")) != text.normalize_for_compare(F.col("y"))).select("pair_id", F.concat(F.lit("The date is different, "), "y", F.lit(" in html while "), "x", F.lit(" in word.")).alias("contents"))
+    side = lambda said, name: F.struct(F.lit(0).alias("order"), said.alias("text")).alias(name)
+    return explained(o.select(F.col("o_orderkey").alias("pair_id"), side(say(F.col("o_orderdate")), "l"), side(say(later), "r"))).select("pair_id", "contents")
 
 
 @query(f"""{KEYED}, bth AS (SELECT lk.pair_id, lk.ord, {S.tokens('lk.text')} AS x, {S.tokens('rk.text')} AS y FROM lk JOIN rk USING (pair_id, ord)),

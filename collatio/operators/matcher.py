@@ -538,4 +538,6 @@ def match_and_note(left: DataFrame, right: DataFrame, profile: Profile = Profile
         names = [c.split()[0] for c in NOTED.split(", ")]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names)
 
+    # both sides may come from one table; new names of the columns tell them apart
+    right = right.toDF(*right.columns)
     return left.groupBy("pair_id").cogroup(right.groupBy("pair_id")).applyInArrow(one, NOTED)

@@ -137,10 +137,10 @@ def summary_json(matches: DataFrame) -> DataFrame:
 
 def check_comments(comments: DataFrame, required: list[str], forbidden: list[str]) -> DataFrame:
     """(kind, text, n, ok): how often each required and forbidden text is found in comments."""
-    spark = comments.sparkSession
-    rules = spark.createDataFrame([("required", t) for t in required] + [("forbidden", t) for t in forbidden], "kind string, text string")
-    met = F.broadcast(rules).join(comments.select("contents"), F.col("contents").contains(F.col("text")), "left")
-    return met.groupBy("kind", "text").agg(F.count("contents").alias("n")).withColumn("ok", F.when(F.col("kind") == "required", F.col("n") > 0).otherwise(F.col("n") == 0))
+    rules = [("required", t) for t in required] + [("forbidden", t) for t in forbidden]
+    counts = comments.agg(*[F.count(F.when(F.col("contents").contains(t), 1)).alias(f"n{k}") for k, (_, t) in enumerate(rules)])
+    each = [F.struct(F.lit(kind).alias("kind"), F.lit(t).alias("text"), F.col(f"n{k}").alias("n")) for k, (kind, t) in enumerate(rules)]
+    return counts.select(F.inline(F.array(*each))).withColumn("ok", F.when(F.col("kind") == "required", F.col("n") > 0).otherwise(F.col("n") == 0))
 
 
 def placed(comments: DataFrame, token_rects: DataFrame, block_rects: DataFrame) -> DataFrame:

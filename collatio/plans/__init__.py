@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import texts  # noqa: F401  it registers its queries
 from .comparison import ORACLE, QUERIES
 
 

@@ -123,7 +123,6 @@ for _name, _column, _expr in (
     ("bigram_count", lambda c: F.size(text.bigrams(c)), f"CAST(len({S.grams_of('k')}) AS INTEGER)"),
     ("separator_symbol", text.separator_symbol, S.sub("text", r"\s+")),
     ("describe_whitespace", text.describe_whitespace, "CASE length(text) - length(replace(text, ' ', '')) WHEN 0 THEN 'no space' WHEN 1 THEN '1 space' ELSE (length(text) - length(replace(text, ' ', ''))) || ' spaces' END"),
-    ("run_kind", lambda c: text.run_kind(F.substring(c, -1, 1)), r"CASE WHEN right(text, 1) = ' ' THEN 'space' WHEN regexp_full_match(right(text, 1), '[$€£¥%~()\[\]{}:;,.!?/&+\-–—•]') THEN 'symbol' ELSE 'text' END"),
     ("shorten_text", lambda c: text.shorten(c, 40), f"CASE WHEN length(trim({S.sub(S.text('text'), r'\s+', ' ')})) <= 40 THEN trim({S.sub(S.text('text'), r'\s+', ' ')}) ELSE rtrim(substring(trim({S.sub(S.text('text'), r'\s+', ' ')}), 1, 39)) || '…' END"),
     ("quote_role", roles.quote_role, f"CASE WHEN contains({S.key('text')}, 'chief financial officer') OR contains({S.key('text')}, 'finance chief') OR regexp_matches({S.key('text')}, '\\bcfo\\b') THEN 'cfo' WHEN contains({S.key('text')}, 'chief executive officer') OR regexp_matches({S.key('text')}, '\\bceo\\b') THEN 'ceo' END"),
     ("footnote_marker", roles.footnote_marker, rf"nullif(regexp_extract({S.text('text')}, '^\s*\(?(\d{{1,2}})\)?(?:\s+|$)', 1), '')"),
@@ -144,15 +143,6 @@ def diff_tokens(spark, sf_dir):
     return left_lines(spark, sf_dir).select("pair_id", "order", F.explode(aligned.diff_tokens("text")).alias("t")).select("pair_id", "order", "t.*")
 
 
-@query(rf"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {S.strip('x')}), lambda x: x <> '') AS l FROM documents),
-p AS (SELECT doc_id, l[1] AS lead, array_to_string(l[2:], ' ') AS rest, len(l) AS n FROM d)
-SELECT doc_id, lead, length(rest) AS rest_length FROM p WHERE n >= 2 AND regexp_full_match(lead, '[A-Z][A-Za-z0-9''()/%& .-]+') AND NOT regexp_matches(lead, '[.!?:;]$') AND length(lead) <= 64
-AND len(list_filter(string_split(lead, ' '), lambda w: w <> '')) <= 8 AND NOT (len(list_filter(string_split(lead, ' '), lambda w: w <> '')) <= 1 AND length(lead) < 12) AND regexp_matches(rest, '^["''(]?[A-Z]') AND length(rest) >= 80""")
-def lead_label_split(spark, sf_dir):
-    p = text.lead_label(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", p.alias("p")).where("p is not null").select("doc_id", "p.lead", F.length("p.rest").cast("long").alias("rest_length"))
-
-
 NUM = "CAST(replace(replace(regexp_replace(text, '^\\$ ', ''), ',', ''), '%', '') AS DOUBLE)"
 
 

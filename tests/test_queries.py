@@ -8,7 +8,9 @@ from conftest import SF
 
 #: Cheap ones from each family; the driver runs all of them.
 NAMES = ["exact_block_match", "normalize_compare", "diff_token_counts", "numeric_parse", "date_phrases", "best_approx_match", "containment_join", "cell_slots", "row_currency", "cell_comments", "review_tier_counts", "presence_comments", "section_sessions", "page_clusters",
-         "numeric_compatibility", "same_cell_prematch", "grouped_comments", "similarities", "blocking_candidates", "table_family_scores", "page_table_cells", "page_standard_cells", "table_currency"]
+         "numeric_compatibility", "same_cell_prematch", "grouped_comments", "similarities", "blocking_candidates", "table_family_scores", "page_table_cells", "page_standard_cells", "table_currency",
+         "faithful_tables", "effective_currency", "role_compatibility", "contact_texts", "contact_roles", "quote_leads", "primary_quotes", "page_chrome", "comment_checks", "comment_places", "led_documents",
+         "section_schemas", "repeated_labels", "semantic_currency", "run_kinds"]
 
 
 def tidy(v):

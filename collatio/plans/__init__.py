@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import files, texts  # noqa: F401  they register their queries
+from . import differences, files, texts  # noqa: F401  they register their queries
 from .comparison import ORACLE, QUERIES
 
 

@@ -103,3 +103,30 @@ def page_summaries(spark, sf_dir):
 
     keyed = [d.withColumn("norm", normalize_for_compare(F.col("text"))) for d in (a, b)]
     return review.page_summary(b, a, matching.exact_by_rank(*keyed)).select("pair_id", "page", F.col("right_order").cast("int").alias("right_order"), "contents")
+
+
+#: Blocks of a part's page: (role, kind, marker, left text or None, right text or None, match type, group type).
+PAGE = [
+    ("section_header", "h2", None, "GAAP Results", "GAAP Result", "approx", None),
+    ("paragraph", "p", None, "The results of the quarter show that revenue rose in all regions and margins widened too, as {} sold well.", "=", "exact", None),
+    ("paragraph", "p", None, "“We are proud of {} and of all who made it this year,” said Ann Lee, Chief Financial Officer of the firm.", "“We are very proud of {} and of all who made it this year,” said Ann Lee, Chief Financial Officer of the firm.", "approx", "quote"),
+    ("footnote", "footnote", "1", "1 A note on {} that stands below the text of the page.", "1 A note on {} that stands under the text of the page.", "approx", "footnote"),
+    ("paragraph", "p", None, "Only here on the left of both sides, without a partner.", None, None, None),
+    ("paragraph", "p", None, None, "Something else altogether was written over there, by someone.", None, None),
+]
+
+
+@query("SELECT p_partkey AS pair_id, b.* FROM part, (VALUES " + ", ".join(
+    f"({k if a else 'CAST(NULL AS INTEGER)'}, {k if b else 'CAST(NULL AS INTEGER)'}, {S.q(kind) if kind else 'CAST(NULL AS VARCHAR)'}, {S.q(group) if group else 'CAST(NULL AS VARCHAR)'})" for k, (_, _, _, a, b, kind, group) in enumerate(PAGE)
+) + ") b(left_order, right_order, match_type, group_type)")
+def faithful_groups(spark, sf_dir):
+    """The cascade on headers, prose, quotes, footnotes and blocks of one side."""
+    from ..operators import compare, matcher
+
+    def side(at: int) -> DataFrame:
+        texts = [(k, (b[3] if b[4] == "=" else b[4]) if at else b[3]) for k, b in enumerate(PAGE)]
+        rows = [F.struct(F.lit(k).alias("order"), F.lit(PAGE[k][0]).alias("structure_role"), F.lit(PAGE[k][1]).alias("kind"), F.lit(PAGE[k][2]).cast("string").alias("footnote_marker"), F.lit(PAGE[k][1] == "h2").alias("heading"), F.replace(F.lit(t), F.lit("{}"), F.col("p_name")).alias("text")) for k, t in texts if t]
+        blocks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair_id"), F.inline(F.array(*rows)))
+        return compare.completed(blocks).withColumn("family_table_index", F.lit(None).cast("int"))
+
+    return matcher.match_pairs(side(0), side(1)).select("pair_id", "left_order", "right_order", "match_type", "group_type")

@@ -231,3 +231,28 @@ def test_sections():
     told, covered = sections.notes(left, right, {1, 2, 3}, "html", diff.shorten)
     assert covered == {1, 2, 3} and told[0][1] == 0 and told[0][2].startswith("This DOCX gaap_results section is broadly matched to the HTML")
     assert told[1][0] == 2 and told[1][2].startswith("This DOCX financial_targets section was not found in the HTML.")
+
+
+def test_files_to_files(spark, tmp_path):
+    from collatio import cli
+
+    for side in ("left", "right"):
+        (tmp_path / side).mkdir()
+    text = "The results of the quarter show that revenue was {} in all regions"
+    (tmp_path / "left" / "a.docx").write_bytes(word_file(f"<w:p><w:r><w:t>{text.format(12)}</w:t></w:r></w:p>", ""))
+    (tmp_path / "left" / "alone.docx").write_bytes(word_file("<w:p><w:r><w:t>Alone</w:t></w:r></w:p>", ""))
+    (tmp_path / "right" / "a.html").write_text(f"<p>{text.format(15)}</p><p>And a new paragraph that stands only here.</p>")
+    cli.run(spark, str(tmp_path / "left"), str(tmp_path / "right"), str(tmp_path / "out"))
+    told = {(r.name, r.contents) for r in spark.read.parquet(f"{tmp_path}/out/comments").collect()}
+    assert ("a", "The number is different, 15 in html while 12 in word.") in told and {n for n, _ in told} == {"a"}
+    summary = spark.read.parquet(f"{tmp_path}/out/summary").first()
+    assert (summary.name, summary.docx_blocks, summary.html_blocks, summary.html_only) == ("a", 1, 2, 1)
+    assert spark.read.json(f"{tmp_path}/out/summary-json").count() == 1
+
+
+def test_windows_of_short_fragments():
+    from collatio.functions.aligned import best_window
+
+    assert best_window(["net", "income"], ["the", "net", "income", "rose"]) == 1.0
+    assert best_window(["net", "incomes"], ["the", "net", "income", "rose"]) > 0.9
+    assert best_window([], ["a"]) == best_window(["a"], []) == 0.0

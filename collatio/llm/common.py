@@ -86,14 +86,22 @@ def bounded_sample(docs: DataFrame, key: str, label: str, per_class: int, max_by
     """At most ``per_class`` rows of each label, of at most ``max_bytes`` bytes each, as (label, text) on the driver.
 
     marks: the table (key, label), unless docs has the labels itself. The rows with the smallest hashes are taken, so
-    the sample doesn't depend on partitioning. Two passes, however many labels there are: ids are chosen first, by
-    a rank that each task already limits; texts are then fetched through a join with the chosen ids, whose number is
-    bounded by that of the labels.
+    the sample doesn't depend on partitioning. Three passes, however many labels there are: rows are counted by label,
+    ids are chosen among the rows below a border of hashes that the counts give, so few meet in one task, and texts are
+    fetched through a join with the chosen ids, whose number is bounded by that of the labels.
     """
     spread = F.xxhash64(key)
     fit = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    told = fit.select(key, label) if marks is None else fit.select(key).join(marks, key)
-    ranked = told.where(F.col(label).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(spread, key)))
+    told = (fit.select(key, label) if marks is None else fit.select(key).join(marks, key)).where(F.col(label).isNotNull())
+    counts = told.groupBy(label).count().collect()
+    if not counts:
+        return []
+    # all hashes below a border that about three times as many rows pass as are wanted; the least ones are among them
+    border = {r[0]: -(1 << 63) + min(1 << 64, ((3 * per_class + 100) << 64) // r[1]) for r in counts}
+    below = F.lit(False)
+    for value, most in border.items():
+        below = below | ((F.col(label) == F.lit(value)) & ((spread < F.lit(most)) if most < 1 << 63 else F.lit(True)))
+    ranked = told.where(below).withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(spread, key)))
     chosen = ranked.where(F.col("_r") <= per_class).groupBy(key).agg(F.min(label).alias("_label")).collect()
     if not chosen:
         return []

@@ -1,4 +1,8 @@
-"""Connected components of links, by alternating large-star and small-star steps on DataFrames."""
+"""Connected components of links, by alternating large-star and small-star steps on DataFrames.
+
+Each task first contracts the links it has; once no more than ``BLOCK`` links are left, which a task holds easily, one
+task contracts them all and the steps end there.
+"""
 
 from __future__ import annotations
 
@@ -55,6 +59,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links: (u long, v long). Returns (node, root) for every node but the least of its component, its root."""
     edges = checkpointed(links.where("u <> v").mapInArrow(contracted, "u long, v long").distinct())
     for _ in range(most_rounds):
+        if edges.count() <= BLOCK:
+            edges = checkpointed(edges.coalesce(1).mapInArrow(contracted, "u long, v long"))
+            break
         # large star: every node gives its larger neighbours to the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -42,8 +42,8 @@ class Result:
 class Comparison:
     """compare(left, right): sides hold (pair_id, order, text) and any further block columns."""
 
-    def __init__(self, profile: Profile = Profile(), lexicon: Lexicon = DEFAULT):  # noqa: B008
-        self.profile, self.lexicon = profile, lexicon
+    def __init__(self, profile: Profile = Profile(), lexicon: Lexicon = DEFAULT, appendix_rules: review.AppendixRules | None = None):  # noqa: B008
+        self.profile, self.lexicon, self.appendix_rules = profile, lexicon, appendix_rules
 
     def side(self, blocks: DataFrame) -> DataFrame:
         b = completed(blocks)
@@ -66,6 +66,8 @@ class Comparison:
         sections = noted.where("contents is not null and right_order is not null").select("pair_id", "right_order", F.lit(900_000).alias("seq"), F.lit(None).cast("int").alias("token_index"), "contents")
         told = told.unionByName(sections)
         left_only = matches.where("right_order is null and not held and not covered").join(a.select("pair_id", F.col("order").alias("left_order"), "text"), ["pair_id", "left_order"])
+        if self.appendix_rules is not None:
+            left_only = review.appendix_blocks(a, left_only.withColumnRenamed("left_order", "order"), self.appendix_rules).withColumnRenamed("order", "left_order")
         appendix = left_only.select("pair_id", "left_order", "text", F.lit(f"This DOCX content was not found in the {self.profile.target.upper()}.").alias("contents"))
         lost = noted.where("contents is not null and left_order is not null").select("pair_id", "left_order", "contents").join(a.select("pair_id", F.col("order").alias("left_order"), "text"), ["pair_id", "left_order"])
         appendix = appendix.unionByName(lost)

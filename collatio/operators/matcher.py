@@ -9,13 +9,15 @@ The cascade is a list of stages; each proposes partners for one left block and s
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions import scalar as s
+from ..functions.aligned import tokens_of
 from ..functions.contacts import contact
 from ..functions.aligned import best_window
 from ..functions.lexicon import DEFAULT, STRICT_ROLES, Lexicon
@@ -62,6 +64,7 @@ class Block:
     footnote_marker: str | None = None
     role: str = ""
     family: int | None = None
+    runs: list[dict] | None = None
     norm: str = field(init=False)
     token: dict | None = field(init=False)
 
@@ -87,6 +90,13 @@ def roles_fit(a: Block, b: Block) -> bool:
     return not a.role or not b.role or a.role == b.role or not {a.role, b.role} & set(STRICT_ROLES)
 
 
+def styled_tokens(b: Block, style: str) -> Counter:
+    """The tokens of a block's runs that show a style; runs next to each other are read as one text."""
+    shows = lambda r: bool(r[style] or (style == "underline" and r["hyperlink"]))
+    texts = ("".join(r["text"] for r in some) for shown, some in groupby(b.runs or (), shows) if shown)
+    return Counter(t["normalized"] for text in texts for t in tokens_of(text))
+
+
 def formatting_score(a: Block, b: Block) -> float:
     """How alike two blocks look: equal traits add, different ones take off."""
     total = 0.0
@@ -96,7 +106,13 @@ def formatting_score(a: Block, b: Block) -> float:
         total += plus if same else -minus
     if a.heading and b.heading and a.heading_level == b.heading_level:
         total += 0.5
-    return total + sum(0.8 if getattr(a, x) == getattr(b, x) else -0.5 for x in ("bold", "italic", "underline"))
+    for style in ("bold", "italic", "underline"):
+        alike = getattr(a, style) == getattr(b, style)
+        if a.runs and b.runs:
+            total += 1.25 if styled_tokens(a, style) == styled_tokens(b, style) else 0.4 if alike else -0.5
+        else:
+            total += 0.8 if alike else -0.5
+    return total
 
 
 def context_score(a: Block, b: Block) -> float:
@@ -490,7 +506,7 @@ class Matcher:
         return self.matches
 
 
-BLOCK_COLUMNS = ("order", "text", "heading", "heading_level", "bold", "italic", "underline", "list_item", "table_cell", "kind", "table", "row", "col", "row_key", "row_slot", "numeric_slot", "footnote_marker", "structure_role", "family_table_index")
+BLOCK_COLUMNS = ("order", "text", "heading", "heading_level", "bold", "italic", "underline", "list_item", "table_cell", "kind", "table", "row", "col", "row_key", "row_slot", "numeric_slot", "footnote_marker", "structure_role", "family_table_index", "runs")
 RENAMED = {"structure_role": "role", "family_table_index": "family"}
 MATCHES = "pair_id long, left_order int, right_order int, match_type string, score double, held boolean, group_type string"
 #: As MATCHES, with rows that are comments on sections and near matches, and one-sided blocks that these cover.

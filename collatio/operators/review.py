@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +121,47 @@ def page_summary(right: DataFrame, left: DataFrame, matches: DataFrame, least: i
     return pages.join(anchored, ["pair_id", "page"], "left_anti").select("pair_id", "page", F.col("top")[0]["order"].alias("right_order"), F.lit(said).alias("contents"))
 
 
+@dataclass(frozen=True)
+class AppendixRules:
+    """Rows that the appendix names beside unmatched blocks, until it holds ``most``.
+
+    Cells with ``phrase`` in them; and in ``table`` from ``first_row`` on cells that hold a ``label``, equal one of ``labels``, or are
+    a number like ``number`` in one of ``number_rows`` or in ``number_col``. ``left_out``: texts that are never named.
+    """
+
+    left_out: tuple[str, ...] = ()
+    most: int = 28
+    phrase: str = "gaap to non-gaap reconciliation"
+    table: int = 1
+    first_row: int = 19
+    label: str = "per diluted share attributed to"
+    labels: tuple[str, ...] = ("three months ended", "january 31,", "adjustments:", "amortization of acquired intangible assets", "stock-based compensation")
+    number: str = r"^\$?\d\.\d{2}$"
+    number_rows: tuple[int, ...] = (22, 25)
+    number_col: int = 1
+
+
+def appendix_blocks(blocks: DataFrame, unmatched: DataFrame, rules: AppendixRules) -> DataFrame:
+    """(pair_id, order, text) of the appendix: unmatched blocks, and while these are fewer than ``most``, rows of the rules.
+
+    blocks: (pair_id, order, text, table_cell, table, row, col); unmatched: (pair_id, order, text). Rows are added in
+    reading order up to the first place in the table at which the appendix is full.
+    """
+    key = normalize_for_compare(F.col("text"))
+    own = unmatched.where(~key.isin(*rules.left_out)) if rules.left_out else unmatched
+    held = own.groupBy("pair_id").agg(F.count("*").alias("held"))
+    b = blocks.join(own.select("pair_id", "order", F.lit(True).alias("own")), ["pair_id", "order"], "left").join(held, "pair_id", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    b = b.where(F.col("table_cell") & F.col("table").isNotNull() & (F.col("held") < rules.most)).withColumn("key", key)
+    inside = (F.col("table") == rules.table) & (F.col("row") >= rules.first_row)
+    number = F.trim("text").rlike(rules.number) & (F.col("row").isin(*rules.number_rows) | (F.col("col") == rules.number_col))
+    named = F.col("key").contains(rules.phrase) | (inside & (F.col("key").contains(rules.label) | F.col("key").isin(*rules.labels) | number))
+    upto = Window.partitionBy("pair_id").orderBy("order")
+    b = b.withColumn("inside", inside).withColumn("new", named & F.col("own").isNull()).withColumn("total", F.col("held") + F.sum(F.col("new").cast("int")).over(upto))
+    full = F.sum((F.col("inside") & (F.col("total") >= rules.most)).cast("int")).over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    more = b.withColumn("full", F.coalesce(full, F.lit(0))).where("new and full = 0").select("pair_id", "order", "text")
+    return own.select("pair_id", "order", "text").unionByName(more)
+
+
 def summary(matches: DataFrame) -> DataFrame:
     """Counts of a pair from the full outer result of a matcher; contained matches have a column of their own."""
     has = lambda c: F.col(c).isNotNull()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import diff, matching, review
 from ..operators.matcher import Profile
 from . import sql as S
-from .comparison import LINES, left_lines, query, table
+from .comparison import CELLS_SQL, LINES, cells_of, left_lines, query, table
 
 SENTENCE = "the part named {} is sold in many places, now more than ever"
 #: (what stands on the left, what on the right, the comment).
@@ -130,3 +130,18 @@ def faithful_groups(spark, sf_dir):
         return compare.completed(blocks).withColumn("family_table_index", F.lit(None).cast("int"))
 
     return matcher.match_pairs(side(0), side(1)).select("pair_id", "left_order", "right_order", "match_type", "group_type")
+
+
+RULES = review.AppendixRules(("17",), 4, "part 5", 0, 2, "outstanding, part 1", ("3%",), r"^\d$", (3,), 1)
+
+
+@query(f"""{CELLS_SQL}, b AS (SELECT *, row * 10 + col AS ord, {S.key('text')} AS k, (row * 10 + col) % 9 = 4 AND {S.key('text')} <> '17' AS own FROM cells),
+h AS (SELECT *, sum(CASE WHEN own THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id) AS held, row >= 2 AS inside, NOT own AND (contains(k, 'part 5') OR (row >= 2 AND (contains(k, 'outstanding, part 1') OR k = '3%' OR (regexp_full_match(trim(text), '\\d') AND (row = 3 OR col = 1))))) AS new FROM b),
+t AS (SELECT *, held + sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY ord) AS total FROM h WHERE held < 4),
+f AS (SELECT *, coalesce(sum(CASE WHEN inside AND total >= 4 THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before FROM t)
+SELECT pair_id, CAST(ord AS INTEGER) AS ord, text FROM b WHERE own UNION ALL SELECT pair_id, CAST(ord AS INTEGER), text FROM f WHERE new AND full_before = 0""")
+def appendix_rows(spark, sf_dir):
+    """Unmatched cells and rows that rules name, up to four a pair."""
+    cells = cells_of(spark, sf_dir).withColumn("table_cell", F.lit(True))
+    found = review.appendix_blocks(cells, cells.where("order % 9 = 4").select("pair_id", "order", "text"), RULES)
+    return found.select("pair_id", F.col("order").cast("int").alias("ord"), "text")

@@ -256,3 +256,15 @@ def test_windows_of_short_fragments():
     assert best_window(["net", "income"], ["the", "net", "income", "rose"]) == 1.0
     assert best_window(["net", "incomes"], ["the", "net", "income", "rose"]) > 0.9
     assert best_window([], ["a"]) == best_window(["a"], []) == 0.0
+
+
+def test_formatting_score_by_runs():
+    from collatio.operators.matcher import Block, formatting_score
+
+    run = lambda text, bold: {"text": text, "bold": bold, "italic": False, "underline": False, "hyperlink": False}
+    a = Block(0, "net income rose", bold=True, runs=[run("net ", True), run("income", True), run(" rose", False)])
+    same = Block(0, "net income rose", bold=True, runs=[run("net income", True), run(" rose", False)])
+    other = Block(1, "net income rose", bold=True, runs=[run("net income ", False), run("rose", True)])
+    plain = Block(2, "net income rose", bold=True)
+    assert formatting_score(a, same) - formatting_score(a, other) == pytest.approx(1.25 - 0.4)
+    assert formatting_score(a, plain) == pytest.approx(formatting_score(a, same) - 3 * (1.25 - 0.8))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .aligned import fuzzy_schema
 from .lexicon import CONTACT_LABELS, DEFAULT, EMAIL, PHONE, REPEATED_LABELS, STRICT_ROLES, Lexicon
+from .similarity import similarity
 from .text import bag, bound, headerish, normalize_alnum, normalize_for_compare, normalize_text, strip, strip_leading_markers, sub, visible
 from .tokens import is_single_number, token_texts
 
@@ -135,13 +136,42 @@ def page_section_line(line: Column, following: Column) -> Column:
     return visible(text) & body & shape & (titled >= 0.7 * F.size(words)) & (lowered <= 0.35 * F.size(words))
 
 
+def narrative_segments(c: Column) -> Column:
+    """The visible lines of a page's block as segments: a section line begins one; the first line, if it is one, stands alone."""
+
+    def cut(lines: Column) -> Column:
+        section = F.transform(lines, lambda x, i: F.coalesce(page_section_line(x, F.get(lines, i + 1)), F.lit(False)))
+
+        def step(flags: Column) -> Column:
+            led = F.get(flags, 0)
+            begins = lambda i: (i == 0) | ((i == 1) & led) | ((i > led.cast("int")) & F.get(flags, i))
+            placed = F.transform(lines, lambda x, i: F.struct(begins(i).alias("begins"), x.alias("line")))
+            last = lambda out: F.element_at(out, -1)
+            grown = lambda out, x: F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat_ws("\n", last(out), x["line"])))
+            return F.aggregate(placed, F.array().cast("array<string>"), lambda out, x: F.when(x["begins"], F.array_append(out, x["line"])).otherwise(grown(out, x)))
+
+        return bound(section, step)
+
+    lines = F.filter(F.transform(F.split(normalize_text(c), "\n"), lambda x: strip(x)), lambda x: visible(x))
+    return bound(lines, lambda x: F.when(F.size(x) < 2, F.array(strip(normalize_text(c)))).otherwise(cut(x)))
+
+
+def page_focus(c: Column, page: Column) -> Column:
+    """The segment of a page's block that is more like a text than the whole block, by .05 or up to .9; else null."""
+
+    def best(p: Column) -> Column:
+        own, whole = p["own"], p["whole"]
+        rated = F.transform(p["segments"], lambda x, i: F.struct(similarity(own, normalize_for_compare(x)).alias("score"), (-i).alias("at"), x.alias("text")))
+        return bound(F.struct(F.array_max(rated).alias("top"), similarity(own, whole).alias("full")), lambda r: F.when((r["top.score"] > r["full"]) & ((r["top.score"] >= 0.9) | (r["top.score"] - r["full"] >= 0.05)), r["top.text"]))
+
+    told = F.struct(normalize_for_compare(c).alias("own"), normalize_for_compare(page).alias("whole"), narrative_segments(page).alias("segments"))
+    # a block of one line has one segment
+    return F.when(F.contains(page, F.lit("\n")), bound(told, lambda p: F.when(F.size(p["segments"]) > 1, best(p))))
+
+
 def page_segments(blocks: DataFrame, key: list[str]) -> DataFrame:
-    """Narrative segments of page blocks: a section line begins one. (key, segment, text)."""
-    lines = blocks.select(*key, F.posexplode(F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")).alias("line", "said"))
-    w = Window.partitionBy(*key).orderBy("line")
-    begins = page_section_line(F.col("said"), F.lead("said").over(w)).cast("int")
-    marked = lines.withColumn("begins", begins).withColumn("segment", F.sum("begins").over(w))
-    return marked.groupBy(*key, "segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "said"))), lambda x: x["said"]), " ").alias("text"))
+    """Narrative segments of page blocks: (key, segment, text)."""
+    return blocks.select(*key, F.posexplode(narrative_segments(F.col("text"))).alias("segment", "text"))
 
 
 def repeated_label(c: Column, lexicon: Lexicon = DEFAULT) -> Column:

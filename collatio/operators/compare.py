@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT, Lexicon
-from ..functions.roles import assign_roles
+from ..functions.roles import assign_roles, page_focus
 from ..functions.text import visible
 from ..functions.tokens import currency_symbol, effective_currency, with_row_currency, with_table_currency
 from ..lineage import cut
@@ -58,6 +58,9 @@ class Comparison:
         names = [c for c in (*DEFAULTS, "order", "text", "row_symbol", "currency")]
         packed = lambda d, k, o: d.select("pair_id", F.col("order").alias(o), F.struct(*names, F.col("structure_role").alias("role"), F.col("family_table_index").alias("family"), *([F.col("runs")] if "runs" in d.columns else [])).alias(k))
         met = matches.where("match_type is not null").join(packed(a, "l", "left_order"), ["pair_id", "left_order"]).join(packed(b, "r", "right_order"), ["pair_id", "right_order"])
+        if self.profile.target == "pdf":
+            prose = ~F.col("l.table_cell") & ~F.col("r.table_cell") & (F.coalesce("group_type", F.lit("")) != "quote")
+            met = met.withColumn("r", F.col("r").withField("text", F.coalesce(F.when(prose, page_focus(F.col("l.text"), F.col("r.text"))), F.col("r.text"))))
         told = diff.comments(met, self.profile, self.lexicon)
         right_only = matches.where("left_order is null and not covered").join(b.select("pair_id", F.col("order").alias("right_order"), "text"), ["pair_id", "right_order"]).where(visible(F.col("text")))
         if self.profile.target == "html":

@@ -79,3 +79,14 @@ def test_lead_and_contact(spark):
 def test_sections(spark):
     got = column(spark, ["GAAP Results", "Gaap Reslts", "Reconciliation of 2024 Targets", "other"], lambda c: roles.known_schema(c, fuzzy=True))
     assert got == ["gaap_results", "gaap_results", "reconciliation_targets", None]
+
+
+def test_page_segments_and_focus(spark):
+    body = "Revenue in the quarter rose on strong demand for products in all regions of the world."
+    more = "The board looks at the year with confidence and thanks all who work for the firm."
+    page = f"Quarterly Business Results\n{body}\nCompany Outlook\n{more}\nand adds no more."
+    got = column(spark, [page, "one line", None, f"{body}\n{more}", f"A plain start of it\nCompany Outlook\n{more}"], roles.narrative_segments)
+    assert got == [["Quarterly Business Results", body, f"Company Outlook\n{more}\nand adds no more."], ["one line"], [""], [f"{body}\n{more}"], ["A plain start of it", f"Company Outlook\n{more}"]]
+    focus = lambda text: column(spark, [page, text, "x\ny"], lambda c: roles.page_focus(F.lit(text), c))
+    assert focus(body) == [body, None, None]
+    assert focus("nothing of the kind at all") [1:] == [None, None]

@@ -162,7 +162,7 @@ def page_focus(c: Column, page: Column) -> Column:
     def best(p: Column) -> Column:
         own, whole = p["own"], p["whole"]
         rated = F.transform(p["segments"], lambda x, i: F.struct(similarity(own, normalize_for_compare(x)).alias("score"), (-i).alias("at"), x.alias("text")))
-        return bound(F.struct(F.array_max(rated).alias("top"), similarity(own, whole).alias("full")), lambda r: F.when((r["top.score"] > r["full"]) & ((r["top.score"] >= 0.9) | (r["top.score"] - r["full"] >= 0.05)), r["top.text"]))
+        return bound(F.struct(F.array_max(rated).alias("top"), similarity(own, whole).alias("full")), lambda r: F.when((r["top"]["score"] > r["full"]) & ((r["top"]["score"] >= 0.9) | (r["top"]["score"] - r["full"] >= 0.05)), r["top"]["text"]))
 
     told = F.struct(normalize_for_compare(c).alias("own"), normalize_for_compare(page).alias("whole"), narrative_segments(page).alias("segments"))
     # a block of one line has one segment

@@ -268,3 +268,11 @@ def test_formatting_score_by_runs():
     plain = Block(2, "net income rose", bold=True)
     assert formatting_score(a, same) - formatting_score(a, other) == pytest.approx(1.25 - 0.4)
     assert formatting_score(a, plain) == pytest.approx(formatting_score(a, same) - 3 * (1.25 - 0.8))
+
+
+def test_page_block_is_read_at_its_best_segment(spark):
+    body = "Revenue in the quarter rose to {} million on strong demand for products in all regions of the world."
+    left = spark.createDataFrame([(1, 0, body.format(12))], "pair_id long, order int, text string")
+    right = spark.createDataFrame([(1, 0, f"Quarterly Results\n{body.format(15)}")], "pair_id long, order int, text string")
+    said = [r.contents for r in compare.Comparison(Profile("pdf", True)).compare(left, right).comments.collect()]
+    assert said == ["The number is different, 15 in pdf while 12 in word."]

@@ -567,7 +567,10 @@ def page_summary(spark, sf_dir):
     return review.page_summary(right, a, matching.exact_by_rank(ka, kb))
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS text FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[\\x00-\\x09\\x0B-\\x1F]', '', 'g'), chr(10)) AS s FROM documents)),
+v AS (SELECT * FROM l WHERE regexp_matches({S.key('text')}, '[a-z0-9]'))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS "order", 'p' AS kind, text, false AS heading, CAST(NULL AS INTEGER) AS heading_level, false AS list_item, false AS bold, false AS italic, false AS underline, false AS table_cell,
+CAST(NULL AS INTEGER) AS "table", CAST(NULL AS INTEGER) AS row, CAST(NULL AS INTEGER) AS col, CAST(NULL AS VARCHAR) AS row_key, CAST(NULL AS INTEGER) AS row_slot, CAST(NULL AS INTEGER) AS numeric_slot FROM v""")
 def docx_blocks(spark, sf_dir):
     """Word files made of the documents' lines, scanned back."""
     import io

@@ -123,7 +123,9 @@ def test_bitmaps_never_rule_out_a_link():
             assert jaccard.may_link(bitmap(a), len(a), bitmap(b), len(b), 85)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [200_000, 20])
+def test_components(spark, monkeypatch, block):
+    monkeypatch.setattr(components, "BLOCK", block)  # few links end in one task, more take the distributed steps
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)] + [(200, 200 + i) for i in range(1, 50)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "u long, v long").repartition(3)).collect()))
     assert got == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100} | {200 + i: 200 for i in range(1, 50)}

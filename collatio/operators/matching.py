@@ -1,6 +1,6 @@
 """Native matching stages: joins and windows that also serve pairs too large for one task.
 
-Sides have (pair_id, order, text, …) and, after ``prepared``, ``norm``, ``tokens`` and ``grams``, each made once.
+Sides have (pair_id, order, text, …) and, after ``prepared``, ``norm``, ``tokens`` and ``grams`` (numbered), each made once.
 """
 
 from __future__ import annotations
@@ -8,13 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import set_overlap, similarity_of
+from ..functions.similarity import numbered, set_overlap, similarity_of
 from ..functions.text import grams_of_key, normalize_for_compare, words_of_key
 from ..lineage import cut
 
 
 def prepared(side: DataFrame) -> DataFrame:
-    return side.withColumn("norm", normalize_for_compare(F.col("text"))).withColumn("tokens", words_of_key(F.col("norm"))).withColumn("grams", grams_of_key(F.col("norm")))
+    keyed = side if "norm" in side.columns else side.withColumn("norm", normalize_for_compare(F.col("text")))
+    return keyed.withColumn("tokens", words_of_key(F.col("norm"))).withColumn("grams", numbered(grams_of_key(F.col("norm"))))
 
 
 def exact_by_rank(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def same_cell(left: DataFrame, right: DataFrame) -> DataFrame:
     a = left.where("number is not null").select(*keys, *[F.col(c).alias(f"l_{c}") for c in names])
     b = right.where("number is not null").select(*keys, *[F.col(c).alias(f"r_{c}") for c in names])
     agree = lambda k: F.coalesce(F.col(f"l_{k}") == F.col(f"r_{k}"), F.lit(True))
-    row_alike = similarity_of(words_of_key(F.col("l_row_key")), words_of_key(F.col("r_row_key")), grams_of_key(F.col("l_row_key")), grams_of_key(F.col("r_row_key")), F.col("l_row_key"), F.col("r_row_key"))
+    row_alike = similarity_of(words_of_key(F.col("l_row_key")), words_of_key(F.col("r_row_key")), numbered(grams_of_key(F.col("l_row_key"))), numbered(grams_of_key(F.col("r_row_key"))), F.col("l_row_key"), F.col("r_row_key"))
     met = a.join(b, keys).where(agree("row_slot") & agree("numeric_slot") & F.coalesce((F.col("l_row_key") == F.col("r_row_key")) | (row_alike >= 0.94), F.lit(True)))
     same = F.col("l_norm") == F.col("r_norm")
     return met.select("pair_id", F.col("l_order").alias("left_order"), F.col("r_order").alias("right_order"), F.when(same, "exact").otherwise("approx").alias("match_type"), F.when(same, 1.0).otherwise(0.95).alias("score"))

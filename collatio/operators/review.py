@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.roles import page_chrome
-from ..functions.similarity import overlap_ratio, similarity_of
+from ..functions.similarity import numbered, overlap_ratio, similarity_of
 from ..functions.text import bag, bigrams, normalize_for_compare, normalize_without_refs, visible
 
 CRITICAL = (
@@ -95,7 +95,7 @@ def anchors(blocks: DataFrame, left: DataFrame) -> DataFrame:
     Blocks of under three tokens and 24 characters are none. A pair that passes has a token in common, so pairs are
     met through their tokens.
     """
-    made = lambda d, key, k: d.withColumn(k, key).withColumn(k + "t", bag(F.col(k))).withColumn(k + "g", bigrams(F.col(k)))
+    made = lambda d, key, k: d.withColumn(k, key).withColumn(k + "t", bag(F.col(k))).withColumn(k + "g", numbered(bigrams(F.col(k))))
     key = normalize_without_refs(F.col("text"))
     a = made(blocks.where((F.size(bag(F.col("text"))) >= 3) | (F.length(normalize_for_compare(F.col("text"))) >= 24)), key, "a")
     b = made(left.select("pair_id", key.alias("b")).where("b <> ''").distinct(), F.col("b"), "b")

@@ -191,7 +191,7 @@ cand AS (SELECT DISTINCT c.pair_id, c.l, c.r FROM (
 def loose_sides(spark, sf_dir):
     a, b = keyed(spark, sf_dir)
     ex = matching.exact_by_rank(a, b)
-    return matching.prepared(matching.unmatched(a, ex, "left_order").drop("norm")), matching.prepared(matching.unmatched(b, ex, "right_order").drop("norm"))
+    return matching.prepared(matching.unmatched(a, ex, "left_order")), matching.prepared(matching.unmatched(b, ex, "right_order"))
 
 
 @query(f"""{KEYED} SELECT (SELECT count(*) FROM lk) AS left_blocks, (SELECT count(*) FROM rk) AS right_blocks, (SELECT count(*) FROM ex) AS exact_matches,
@@ -242,7 +242,7 @@ def similarities(spark, sf_dir):
     c, r = F.col, lambda x: F.round(x, 9)
     p = candidate_pairs(spark, sf_dir)
     blend = similarity.similarity_of(c("lt"), c("rt"), c("lg"), c("rg"), c("ln"), c("rn"))
-    return p.select("pair_id", "left_order", "right_order", r(similarity.jaccard(c("lt"), c("rt"))).alias("jaccard"), r(similarity.dice(c("lg"), c("rg"))).alias("dice"), r(similarity.overlap_ratio(c("lt"), c("rt"))).alias("overlap"), r(blend).alias("blend"))
+    return p.select("pair_id", "left_order", "right_order", r(similarity.jaccard(c("lt"), c("rt"))).alias("jaccard"), r(similarity.dice_numbered(c("lg"), c("rg"))).alias("dice"), r(similarity.overlap_ratio(c("lt"), c("rt"))).alias("overlap"), r(blend).alias("blend"))
 
 
 @query(f"""{PAIRED}, sc AS (SELECT pair_id, l, r, round({S.blend('ta', 'tb', 'ga', 'gb', 'a', 'b')}, 9) AS score FROM pr)

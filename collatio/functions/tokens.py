@@ -14,6 +14,16 @@ def token_texts(c: Column) -> Column:
     return F.regexp_extract_all(normalize_proof(c), F.lit("(" + TOKEN + ")"))
 
 
+def is_number_token(t: Column) -> Column:
+    """Of a token from ``token_texts``: numbers begin with a digit or a point, words with a letter."""
+    return F.ascii(t) < 58
+
+
+def norm_of_token(t: Column) -> Column:
+    """``token_norm`` of a token from ``token_texts``, which has plain characters already and a comma only in numbers."""
+    return F.lower(F.replace(t, F.lit(","), F.lit("")))
+
+
 def token_kind(t: Column) -> Column:
     return F.when(t.rlike("^" + NUMBER + "$"), "number").otherwise("word")
 
@@ -53,8 +63,11 @@ def parse_number(t: Column) -> Column:
     return F.when(value.isNotNull(), F.struct(F.when(negative, -value).otherwise(value).alias("value"), text.contains("%").alias("is_percent")))
 
 
-def number_compatibility(a: Column, b: Column) -> Column:
-    """1 for equal numbers, 0 for another sign, unit or order of magnitude, else less by half the relative gap."""
+def parsed_compatibility(a: Column, b: Column) -> Column:
+    """1 for equal numbers, 0 for another sign, unit or order of magnitude, else less by half the relative gap.
+
+    a, b: from ``parse_number``.
+    """
 
     def of(both: Column) -> Column:
         x, y = both["x"], both["y"]
@@ -66,7 +79,12 @@ def number_compatibility(a: Column, b: Column) -> Column:
             .when(F.coalesce(apart, F.lit(False)), 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - F.least(F.lit(1.0), gap * 0.5)))
         )
 
-    return bound(F.struct(parse_number(a).alias("x"), parse_number(b).alias("y")), of)
+    return bound(F.struct(a.alias("x"), b.alias("y")), of)
+
+
+def number_compatibility(a: Column, b: Column) -> Column:
+    """As ``parsed_compatibility``, of the texts of two numbers."""
+    return parsed_compatibility(parse_number(a), parse_number(b))
 
 
 def date_phrases(c: Column) -> Column:

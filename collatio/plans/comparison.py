@@ -133,8 +133,8 @@ for _name, _column, _expr in (
 @query(f"{LINES} SELECT pair_id, CAST(ord AS INTEGER) AS ord, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_filter(t, lambda x: {S.is_number('x')})) AS INTEGER) AS n_numbers, array_to_string(list_transform(t, lambda x: {S.token_norm('x')}), ' ') AS norms FROM (SELECT pair_id, ord, {S.tokens('text')} AS t FROM lft)")
 def diff_token_counts(spark, sf_dir):
     t = left_lines(spark, sf_dir).withColumn("t", tokens.token_texts(F.col("text")))
-    numbers = F.size(F.filter("t", lambda x: tokens.token_kind(x) == "number"))
-    return t.select("pair_id", F.col("order").cast("int").alias("ord"), F.size("t").alias("n_tokens"), numbers.alias("n_numbers"), F.array_join(F.transform("t", tokens.token_norm), " ").alias("norms"))
+    numbers = F.size(F.filter("t", lambda x: tokens.is_number_token(x)))
+    return t.select("pair_id", F.col("order").cast("int").alias("ord"), F.size("t").alias("n_tokens"), numbers.alias("n_numbers"), F.array_join(F.transform("t", lambda x: tokens.norm_of_token(x)), " ").alias("norms"))
 
 
 @query()
@@ -157,9 +157,11 @@ SELECT a.pair_id, a.row, a.col AS col_a, b.col AS col_b, round(CASE WHEN a.p <>
  WHEN a.v <> 0 AND b.v <> 0 AND abs(log10(abs(nullif(a.v, 0))) - log10(abs(nullif(b.v, 0)))) > 1 THEN 0.0 ELSE greatest(0.0, 1 - least(1.0, abs(a.v - b.v) / greatest(abs(a.v), abs(b.v), 1) * 0.5)) END, 9) AS score
 FROM n a JOIN n b ON a.pair_id = b.pair_id AND a.row = b.row AND a.col < b.col""")
 def numeric_compatibility(spark, sf_dir):
-    n = cells_of(spark, sf_dir).where("col > 0").select("pair_id", "row", "col", "text")
-    a, b = (n.select("pair_id", "row", F.col("col").alias(f"col_{k}"), F.col("text").alias(f"t_{k}")) for k in "ab")
-    return a.join(b, ["pair_id", "row"]).where("col_a < col_b").select("pair_id", "row", "col_a", "col_b", F.round(tokens.number_compatibility(F.col("t_a"), F.col("t_b")), 9).alias("score"))
+    n = cells_of(spark, sf_dir).where("col > 0").select("pair_id", "row", F.struct("col", tokens.parse_number(F.col("text")).alias("v")).alias("n"))
+    # cells lie by (pair, row) already, so a row's numbers meet without a shuffle, each parsed once
+    rows = n.groupBy("pair_id", "row").agg(F.array_sort(F.collect_list("n")).alias("all"))
+    both = rows.select("pair_id", "row", "all", F.explode("all").alias("a")).select("pair_id", "row", "a", F.explode("all").alias("b")).where("a.col < b.col")
+    return both.select("pair_id", "row", F.col("a.col").alias("col_a"), F.col("b.col").alias("col_b"), F.round(tokens.parsed_compatibility(F.col("a.v"), F.col("b.v")), 9).alias("score"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%B ') || day(o_orderdate) || ', ' || year(o_orderdate) AS phrase FROM orders")
@@ -408,9 +410,9 @@ z AS (SELECT pair_id, ord, list_filter(list_zip(x, y), lambda p: {S.token_norm('
 SELECT pair_id, CAST(ord AS INTEGER) AS ord, d[1][1] AS ours, d[1][2] AS theirs FROM z WHERE len(d) = 1""")
 def single_number_differences(spark, sf_dir):
     a, b = keyed(spark, sf_dir)
-    numbers = lambda c: F.filter(tokens.token_texts(c), lambda t: tokens.token_kind(t) == "number")
+    numbers = lambda c: F.filter(tokens.token_texts(c), lambda t: tokens.is_number_token(t))
     met = a.select("pair_id", "order", numbers(F.col("text")).alias("x")).join(b.select("pair_id", "order", numbers(F.col("text")).alias("y")), ["pair_id", "order"]).where("size(x) > 0 and size(x) = size(y)")
-    off = F.filter(F.zip_with("x", "y", lambda p, q: F.when(tokens.token_norm(p) != tokens.token_norm(q), F.struct(p.alias("p"), q.alias("q")))), lambda d: d.isNotNull())
+    off = F.filter(F.zip_with("x", "y", lambda p, q: F.when(tokens.norm_of_token(p) != tokens.norm_of_token(q), F.struct(p.alias("p"), q.alias("q")))), lambda d: d.isNotNull())
     return met.withColumn("d", off).where("size(d) = 1").select("pair_id", F.col("order").alias("ord"), F.col("d")[0]["p"].alias("ours"), F.col("d")[0]["q"].alias("theirs"))
 
 
@@ -459,7 +461,7 @@ def contact_fields(spark, sf_dir):
 @query()
 def token_opcodes(spark, sf_dir):
     a, b = left_lines(spark, sf_dir), right_lines(spark, sf_dir)
-    norms = lambda c: F.transform(tokens.token_texts(c), tokens.token_norm)
+    norms = lambda c: F.transform(tokens.token_texts(c), lambda x: tokens.norm_of_token(x))
     met = a.select("pair_id", "order", norms(F.col("text")).alias("x")).join(b.select("pair_id", "order", norms(F.col("text")).alias("y")), ["pair_id", "order"]).where("x <> y")
     return met.select("pair_id", "order", F.explode(aligned.opcodes("x", "y")).alias("c")).select("pair_id", "order", "c.*")
 

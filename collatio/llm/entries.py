@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_balltree": balltree.ORACLE_SQL, "op10_licences": licences.ORACLE_SQL}
+    return {"op8_jaccard": jaccard.ORACLE_SQL, "op9_balltree": balltree.ORACLE_SQL, "op10_licences": licences.ORACLE_SQL}

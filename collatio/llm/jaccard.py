@@ -466,3 +466,21 @@ def stage(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     alone = rows.where("comp is null").select(F.col("d").alias("_kept"), F.col("h").alias("_h"))
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LOWEST)).alias("_kept"), F.xxhash64(docs["text"].cast("string")).alias("_h"))
     return whole.join(kept.unionByName(alone).distinct(), ["_kept", "_h"]).dropDuplicates(["_kept", "_h"]).select("_row.*")
+
+
+#: Plain SQL of ``digest`` for unique ids: all pairs of sets that share a shingle, then everything that links reach.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s
+  FROM w),
+m AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+linked AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM m a JOIN m b ON a.t = b.t AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edges AS MATERIALIZED (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach(d, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT edges.b, reach.c FROM reach JOIN edges ON edges.a = reach.d)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(reach.c) AS component_id FROM s JOIN reach ON reach.d = s.doc_id GROUP BY s.doc_id, len(s.s)"""

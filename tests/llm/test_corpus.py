@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from collatio.llm import balltree, components, jaccard, langid, licences, matroska, quality, spans
+from conftest import SF
 
 
 def words(t):
@@ -68,6 +69,11 @@ def test_op8(spark):
     assert sorted(map(tuple, jaccard.digest(df).collect())) == linked(rows)
 
 
+def test_op8_equals_its_sql(spark, duck):
+    got = jaccard.digest(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    assert sorted(map(tuple, got)) == sorted(duck.sql(jaccard.ORACLE_SQL).fetchall())
+
+
 def test_op8_a_near_copy_of_many_exact_ones(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", 8)
     rng = random.Random(12)

@@ -174,9 +174,12 @@ def contained(left: DataFrame, right: DataFrame) -> DataFrame:
     sought = a.select("word").distinct()
     sent = F.broadcast(sought) if sought.limit(WORDS_SENT + 1).count() <= WORDS_SENT else sought
     b = right.select(F.col("order").alias("right_order"), F.explode(F.array_distinct("tokens")).alias("word")).join(sent, "word")
+    b = cut(b)  # places of sought words only, read twice
     # a word that no right text has rules its left text out
     often = a.join(b.groupBy("word").agg(F.count("*").alias("n")), "word", "left")
     key = often.groupBy("left_order").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
-    met = key.join(b, "word").select("left_order", "right_order")
-    met = met.join(left.select(F.col("order").alias("left_order"), F.col("norm").alias("ln")), "left_order").join(right.select(F.col("order").alias("right_order"), F.col("norm").alias("rn")), "right_order")
+    met = cut(key.join(b, "word").select("left_order", "right_order"))
+    # the semi joins sink below what makes keys of texts, so only texts of pairs are read again
+    texts = lambda d, o, k: d.select(F.col("order").alias(o), F.col("norm").alias(k)).join(met.select(o).distinct(), o, "left_semi")
+    met = met.join(texts(left, "left_order", "ln"), "left_order").join(texts(right, "right_order", "rn"), "right_order")
     return met.where(F.col("rn").contains(F.col("ln"))).select("left_order", "right_order")

@@ -1,4 +1,4 @@
-"""Cutting lineage by reliable checkpoints in the shared folder of ``spark.checkpoint.dir``."""
+"""Where plans are cut, by reliable checkpoints in the shared folder of ``spark.checkpoint.dir``, and where rows are dealt anew."""
 
 from __future__ import annotations
 
@@ -16,3 +16,12 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="collatio-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to all cores, if they come in fewer parts, as those of a file with one row group do.
+
+    For small tables before costly expressions; a table of many parts stays as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aligned, roles, similarity, text, tokens
+from ..lineage import spread
 from ..operators import compare, diff, matcher, matching, review
 from ..sources import docx, html, pages
 from . import sql as S
@@ -38,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def left_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), "text"))
     return docs.select("pair_id", F.posexplode(F.split("text", "\n")).alias("order", "text")).where("text <> ''")
 
 
@@ -263,7 +264,7 @@ def staged_match(spark, sf_dir):
 SELECT CAST(item_id AS BIGINT) AS item_id, doc_id FROM b JOIN d ON contains(d.k, b.k) WHERE b.k <> ''""")
 def containment_join(spark, sf_dir):
     side = lambda d, k: d.select(F.col(k).alias("order"), text.normalize_for_compare(F.col("text")).alias("norm")).withColumn("tokens", text.bag(F.col("norm")))
-    met = matching.contained(side(table(spark, sf_dir, "benchmark"), "item_id"), side(table(spark, sf_dir, "documents"), "doc_id"))
+    met = matching.contained(side(table(spark, sf_dir, "benchmark"), "item_id"), side(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id"))
     return met.select(F.col("left_order").alias("item_id"), F.col("right_order").alias("doc_id"))
 
 
@@ -494,12 +495,12 @@ def collapsed_comments(spark, sf_dir):
 
 @query()
 def html_blocks(spark, sf_dir):
-    return html.scan(table(spark, sf_dir, "pages")).drop("runs")
+    return html.scan(spread(table(spark, sf_dir, "pages").select("page_id", "html"))).drop("runs")
 
 
 @query()
 def html_runs(spark, sf_dir):
-    return html.scan(table(spark, sf_dir, "pages")).select("doc_id", "order", F.explode("runs").alias("r")).select("doc_id", "order", "r.*")
+    return html.scan(spread(table(spark, sf_dir, "pages").select("page_id", "html"))).select("doc_id", "order", F.explode("runs").alias("r")).select("doc_id", "order", "r.*")
 
 
 def page_words(spark, sf_dir):

@@ -95,7 +95,7 @@ def html_order_blocks(spark, sf_dir):
     rows = table_rows(spark, sf_dir, ("<td><span>", "</span>"), ("<tr>", ""))
     title, item = around("<h2>Order ", F.col("doc_id").cast("string"), "</h2>"), around("<ul><li><i>Rows:</i> ", F.col("n").cast("string"), "</ul>")
     page = F.concat(F.lit("<html><head><title>x</title><script>var a = '<p>no</p>'</script></head><body>"), title, around("<table><tbody>", F.col("rows"), "</table>"), item)
-    return shown(html.scan(rows.select(F.col("doc_id").alias("page_id"), page.alias("html"))))
+    return shown(html.scan(rows.select(F.col("doc_id").alias("page_id"), page.alias("html")), with_runs=False))
 
 
 @query(r"""WITH l AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS ord, unnest(s) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),

@@ -40,3 +40,27 @@ def test_sides_are_computed_once_for_their_comments(spark):
     told = compare.Comparison().compare(a.where("pair_id < 60"), b.where("pair_id < 60")).comments
     assert "documents.parquet" not in told._jdf.queryExecution().executedPlan().toString()
     assert told.where("contents like 'The word is extra in html, Then%'").count() > 0
+
+
+def exchanged(df) -> list[str]:
+    """What is dealt by keys, without what is broadcast."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_words_of_a_document_are_not_dealt_again(spark):
+    """Texts are dealt by document, and their words become clusters where they lie."""
+    assert len(exchanged(comparison.page_clusters(spark, SF))) == 1
+
+
+def test_clusters_of_a_line():
+    from collatio.sources import pages
+
+    word = lambda x0, x1, text: (x0, 0.0, x1, 10.0, text)
+    line = [word(100.0, 110.0, "c"), word(0.0, 10.0, "a"), word(20.0, 40.0, "b"), word(62.0, 70.0, "d"), word(100.0, 105.0, "b")]
+    # a gap of 26 points parts them; two words begin at one place
+    assert list(pages.clusters_of(line)) == [(0, 0.0, 0.0, 70.0, 10.0, "a b d"), (1, 100.0, 0.0, 110.0, 10.0, "b c")]
+
+
+def test_page_summary_deals_texts_by_pair(spark):
+    """No side is dealt by keys of texts: what meets lies by pair."""
+    assert not [line for line in exchanged(comparison.page_summary(spark, SF)) if "norm" in line or "order" in line]

@@ -85,7 +85,7 @@ def docx_order_blocks(spark, sf_dir):
 @query("""SELECT l_orderkey AS doc_id, unnest(['Order ' || l_orderkey, 'Rows: ' || count(DISTINCT l_linenumber)]) AS text, unnest(['heading 2', 'list']) AS what, unnest([true, false]) AS bold, unnest([false, true]) AS italic, unnest([2, CAST(NULL AS INTEGER)]) AS heading_level FROM lineitem GROUP BY l_orderkey""")
 def docx_styles(spark, sf_dir):
     """What styles, and what they are based on, make of the runs of headings and items."""
-    told = docx.scan_bytes(order_files(spark, sf_dir)).where("heading or list_item").select("doc_id", F.explode("runs").alias("r"), "heading", "heading_level")
+    told = docx.scan_bytes(order_files(spark, sf_dir), cells=False).where("heading or list_item").select("doc_id", F.explode("runs").alias("r"), "heading", "heading_level")
     return told.select("doc_id", "r.text", F.when(F.col("heading"), "heading 2").otherwise("list").alias("what"), "r.bold", "r.italic", "heading_level")
 
 

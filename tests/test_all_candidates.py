@@ -45,3 +45,18 @@ def test_the_most_alike_of_all_blocks(roles):
                 told += 1
                 m.used.add(-want[1])
     assert told > 100
+
+
+def test_left_over_page_blocks_hold_all_their_lines():
+    """A page's block meets every left-over block, and a page has as many such blocks as it has."""
+    line = lambda k: f"line {k} tells of item{k} and of thing{k * 7} in place{k * 13}"
+    left = [Block(k, line(k)) for k in range(900)]
+    right = [Block(n, "\n".join(line(k) for k in range(300 * n, 300 * n + 300)), kind="pdf") for n in range(3)]
+    assert {i: j for i, (j, kind, _) in Matcher(left, right, Profile("pdf", True)).run().items() if kind == "contained"} == {k: k // 300 for k in range(900)}
+
+
+def test_lines_of_a_long_page_find_their_partners():
+    """Each of 600 edited lines of one length and beginning meets its own."""
+    said = lambda k, end: f"the report of the quarter says of unit{k} that its goods{k * 3} and parts{k * 5} sold {end}"
+    left, right = ([Block(k, said(k, end), role="paragraph") for k in order] for end, order in (("well", range(600)), ("badly", range(599, -1, -1))))
+    assert {i: 599 - j for i, (j, _, _) in Matcher(left, right, Profile("pdf", True)).run().items()} == {k: k for k in range(600)}
